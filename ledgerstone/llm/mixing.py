@@ -137,7 +137,7 @@ def mix_documents(docs: DataFrame, column: str = "text", length: str = "n_chars"
     packed = docs.select("doc_id", "source", n_words(F.col(column)).alias("size"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     out = _taken(packed, sources, entries)
     copies = F.sequence(F.lit(1).cast("long"), F.col("passes") + F.when(F.col("_part") > 0, 1).otherwise(0))
-    out = out.where((F.col("passes") > 0) | (F.col("_part") > 0)).select("_row", "passes", "_part", "_lead", "size", F.explode(copies).alias("_copy"))
+    out = out.where("size > 0 and (passes > 0 or _part > 0)").select("_row", "passes", "_part", "_lead", "size", F.explode(copies).alias("_copy"))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("_row")[column], F.lit(f"({WORD})"), F.lit(1)), (F.col("_lead") + 1).cast("int"), F.col("_part").cast("int")), " ")
     short = (F.col("_copy") > F.col("passes")) & (F.col("_part") < F.col("size"))
     out = out.withColumn("_text", F.when(short, cut).otherwise(F.col("_row")[column])).withColumn("_short", short)

@@ -178,5 +178,6 @@ def assess(docs: DataFrame, model: Model, column: str = "text", least: float = L
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, column: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with their own columns."""
-    return assess(docs, train(docs, labels, column), column, keep_text=True).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that are kept, with their own columns, whatever their names."""
+    packed = docs.select(F.col(column).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return assess(packed, train(docs, labels, column)).where("kept").select("_row.*")

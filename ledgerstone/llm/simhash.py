@@ -218,7 +218,8 @@ def drop_near_copies(docs: DataFrame, column: str = "text") -> DataFrame:
     kept = prints.join(near_components(prints), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Rows of one document may have several texts: the component's row has the least fingerprint of them.
     kept = kept.groupBy("component_id").agg(F.min("doc_id").alias("_id"), F.min("fp").alias("_print")).drop("component_id")
-    marked = with_fingerprint(docs, column)
+    packed = docs.select("doc_id", F.col(column).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    marked = with_fingerprint(packed, drop_text=True)
     match = marked["_fp"].eqNullSafe(kept["_print"]) & marked["doc_id"].eqNullSafe(kept["_id"])
     out = marked.join(kept, match, "left_semi")
-    return out.dropDuplicates(["doc_id", "_fp"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.dropDuplicates(["doc_id", "_fp"]).select("_row.*")
