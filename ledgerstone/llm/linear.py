@@ -18,15 +18,30 @@ class Rows:
     @staticmethod
     def of(indices: list[np.ndarray], values: list[np.ndarray]) -> Rows:
         bounds = np.concatenate([[0], np.cumsum([len(i) for i in indices])]).astype(np.int64)
-        return Rows(np.concatenate(indices).astype(np.int64), np.concatenate(values).astype(np.float64), bounds)
+        return Rows(np.concatenate(indices).astype(np.int32), np.concatenate(values).astype(np.float32), bounds)
 
     def take(self, rows: np.ndarray) -> Rows:
         cut = [slice(self.bounds[r], self.bounds[r + 1]) for r in rows]
         return Rows.of([self.index[c] for c in cut], [self.value[c] for c in cut])
 
-    def dot(self, weights: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(weights[self.index] * self.value)])
-        return total[self.bounds[1:]] - total[self.bounds[:-1]]
+    def dot(self, weights: np.ndarray, strip: int = 256) -> np.ndarray:
+        """The product with weights, a strip of rows at a time."""
+        out = np.zeros(len(self.bounds) - 1)
+        for lo in range(0, len(out), strip):
+            b = self.bounds[lo : lo + strip + 1]
+            part = np.zeros(b[-1] - b[0] + 1)
+            np.cumsum(weights[self.index[b[0] : b[-1]]] * self.value[b[0] : b[-1]], out=part[1:])
+            out[lo : lo + strip] = part[b[1:] - b[0]] - part[b[:-1] - b[0]]
+        return out
+
+    def sums(self, per_row: np.ndarray, size: int, strip: int = 256) -> np.ndarray:
+        """The product of a row vector with the rows."""
+        out = np.zeros(size)
+        for lo in range(0, len(per_row), strip):
+            b = self.bounds[lo : lo + strip + 1]
+            cut = slice(b[0], b[-1])
+            out += np.bincount(self.index[cut], np.repeat(per_row[lo : lo + strip], np.diff(b)) * self.value[cut], size)
+        return out
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -38,16 +53,14 @@ def fit(rows: Rows, target: np.ndarray, size: int, steps: int = 120, rate: float
     share = np.clip(target.mean(), 1e-6, 1 - 1e-6)
     sample = target / share / 2 + (1 - target) / (1 - share) / 2
     w, b = np.zeros(size), 0.0
-    used, at_ = np.unique(rows.index, return_inverse=True)
-    row = np.repeat(np.arange(len(target)), np.diff(rows.bounds))
-    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
+    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
         error = sample * (sigmoid(rows.dot(w) + b) - target) / len(target)
-        g = np.bincount(at_, error[row] * rows.value, len(used)) + ridge * w[used]
+        g = rows.sums(error, size) + ridge * w
         gb = error.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         step = rate * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
-        w[used] -= step * m / (np.sqrt(v) + 1e-9)
+        w -= step * m / (np.sqrt(v) + 1e-9)
         b -= step * mb / (np.sqrt(vb) + 1e-9)
     return w, b
 

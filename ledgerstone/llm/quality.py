@@ -25,7 +25,7 @@ from ledgerstone.llm import arrow_text as at
 from ledgerstone.llm.linear import Rows, fit, platt, sigmoid
 
 BUCKETS = 1 << 15
-SAMPLE = 4000
+SAMPLE = 1500
 CHAR_GRAMS = (3, 5)
 #: A document is rejected if its probability of high quality is below this.
 LEAST_GOOD = 0.25
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "text", label: str =
         return Model(np.zeros(2 * BUCKETS), 0.0, 1.0, 10.0)
     lists = [got.column(c).combine_chunks() for c in ("index", "value")]
     bounds = np.asarray(lists[0].offsets).astype(np.int64)
-    data = Rows(lists[0].values.to_numpy().astype(np.int64), lists[1].values.to_numpy().astype(float) * 100, bounds)
+    data = Rows(lists[0].values.to_numpy(), lists[1].values.to_numpy() * np.float32(100), bounds)
     # Rows arrive in any order: folds and sums follow their contents instead.
     order = np.lexsort((np.diff(data.bounds), data.dot(np.arange(2 * BUCKETS, dtype=float))))
     data, y = data.take(order), y[order]
