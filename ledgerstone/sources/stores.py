@@ -114,12 +114,12 @@ def parse_location(text: str, addition: str = "") -> Location:
     return Location(kinds[scheme], host, bucket, prefix + (f"{addition}/" if addition else ""))
 
 
-def tree_scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
-    """name (below root), size, md5 of all files without a dot segment in their path; manifests named bclient-manifest apart."""
+def tree_scan(spark: SparkSession, root: str, content: bool = True, manifest: str = "manifest.txt") -> DataFrame:
+    """name (below root), size, md5 of all files without a dot segment in their path; is_manifest marks those with the manifest's name."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     name = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^{root.rstrip('/').removeprefix('file://')}/", "")
     out = rows.select(name.alias("name"), F.col("length").alias("size"), *([F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256")] if content else []))
-    return out.where(~F.col("name").rlike(r"(^|/)\.")).withColumn("is_manifest", F.col("name").rlike("(^|/)bclient-manifest$"))
+    return out.where(~F.col("name").rlike(r"(^|/)\.")).withColumn("is_manifest", F.element_at(F.split("name", "/"), -1) == manifest)
 
 
 def key_list(spark: SparkSession, text: Iterable[str]) -> DataFrame:

@@ -54,11 +54,11 @@ def test_locations(text_, want):
 
 
 def test_trees(spark, tmp_path):
-    for name in ("a.txt", "d/b.txt", ".hidden", "d/.x/c.txt", "d/bclient-manifest"):
+    for name in ("a.txt", "d/b.txt", ".hidden", "d/.x/c.txt", "d/manifest.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(name)
     got = {r.name: r.is_manifest for r in stores.tree_scan(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": False, "d/b.txt": False, "d/bclient-manifest": True}
+    assert got == {"a.txt": False, "d/b.txt": False, "d/manifest.txt": True}
 
 
 def test_plans(spark):
