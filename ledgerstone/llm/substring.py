@@ -24,9 +24,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ from ledgerstone.llm.shared import join_small, materialize
 
 WINDOW = 13
 GRAM = 5
-SHARD_WORDS = 20_000
+SHARD_WORDS = 200_000
 #: Words of the runs that one automaton takes together.
 AUTOMATON_WORDS = 40_000
 
@@ -77,8 +79,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of consecutive windows with the same shard: lo, doc_id, the row's text hash, first window, words, text."""
     for batch in batches:
         buf, offsets = at.column_bytes(batch.column("text"))
-        ids, marks, shared = (batch.column(c).to_pylist() for c in ("doc_id", "th", "ids"))
-        hashes = batch.column("hs")
+        ids, marks = (batch.column(c).to_pylist() for c in ("doc_id", "th"))
+        hashes, shared = batch.column("hs"), batch.column("ids")
         out: tuple[list, ...] = ([], [], [], [], [], [])
         for r in range(len(ids)):
             part = buf[offsets[r] : offsets[r + 1]]
@@ -87,7 +89,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             h = np.asarray(hashes[r].values).view(np.uint64)
             order = np.argsort(h)
-            h, lo = h[order], np.asarray(shared[r])[order]
+            h, lo = h[order], np.asarray(shared[r].values)[order]
             place = np.minimum(np.searchsorted(h, low), len(h) - 1)
             shard = np.where(h[place] == low, lo[place], np.int64(-1) << 62)
             known = h[place] == low
@@ -201,24 +203,48 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n_words, n_removed and the hash of the kept words of each row."""
     for batch in batches:
         buf, offsets = at.column_bytes(batch.column("text"))
-        spans = batch.column("spans").to_pylist()
+        spans = batch.column("spans")
         counts, gone, digests = [], [], []
-        for r, found in enumerate(spans):
-            raw = buf[offsets[r] : offsets[r + 1]].tobytes()
-            words = raw.split()
-            drop = np.zeros(len(words) + 1, np.int64)
-            for s in found or ():
-                hit = s["start"] + np.flatnonzero(s["hit"])
-                np.add.at(drop, hit, 1)
-                np.add.at(drop, hit + WINDOW, -1)
+        for lo, hi in at.slices(offsets):
+            part = spans.slice(lo, hi - lo)
+            sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+            flat = pc.list_flatten(part)
+            starts, hits = pc.struct_field(flat, "start").to_numpy(zero_copy_only=False), pc.struct_field(flat, "hit")
+            each = pc.list_value_length(hits).to_numpy(zero_copy_only=False).astype(np.int64)
+            span = np.repeat(np.arange(len(each)), each)
+            place = starts.astype(np.int64)[span] + np.arange(len(span)) - (np.cumsum(each) - each)[span]
+            owner = np.repeat(np.arange(hi - lo), sizes)[span]
+            hit = pc.list_flatten(hits).to_numpy(zero_copy_only=False).astype(bool)
+            base = offsets[lo]
+            word, end, first = at.word_bounds(buf[base : offsets[hi]], offsets[lo : hi + 1] - base)
+            drop = np.zeros(len(word) + 1, np.int64)
+            where = first[owner[hit]] + place[hit]
+            np.add.at(drop, where, 1)
+            np.add.at(drop, where + WINDOW, -1)
             cover = np.cumsum(drop)[:-1] > 0
-            counts.append(len(words))
-            gone.append(int(cover.sum()))
-            kept = words if not gone[-1] else [words[i] for i in np.flatnonzero(~cover)]
-            digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            raw = buf[base : offsets[hi]].tobytes()
+            word, end, kept = word.tolist(), end.tolist(), np.flatnonzero(~cover)
+            edge, first = np.searchsorted(kept, first).tolist(), first.tolist()
+            kept = kept.tolist()
+            for r in range(hi - lo):
+                counts.append(first[r + 1] - first[r])
+                gone.append(counts[-1] - (edge[r + 1] - edge[r]))
+                digests.append(hashlib.sha256(b" ".join([raw[word[i] : end[i]] for i in kept[edge[r] : edge[r + 1]]])).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs as their single windows, with the part of the shard that each goes to."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            lo, doc, th, start, run, parts = (c[row].as_py() for c in batch.columns)
+            raw = run.encode("utf-8", "surrogateescape")
+            gaps = [-1, *np.flatnonzero(np.frombuffer(raw, np.uint8) == 32).tolist(), len(raw)]
+            pieces = [raw[a + 1 : b] for a, b in zip(gaps, gaps[WINDOW:], strict=False)]
+            n = len(pieces)
+            yield pa.RecordBatch.from_arrays([pa.array([lo] * n), pa.array([doc] * n), pa.array([th] * n), pa.array(np.arange(start, start + n)), pa.array([x.decode("utf-8", "surrogateescape") for x in pieces], pa.string()), pa.array([crc32(x) % parts for x in pieces], pa.int64())], ["lo", "doc_id", "th", "start", "run", "sub"])
+
+
 def repeated_spans(docs: DataFrame, column: str = "text") -> DataFrame:
     """doc_id, th (xxhash64 of the text) and spans: array of (start: first window, hit: whether each window is to go)."""
     texts = docs.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("text"))
@@ -232,10 +258,7 @@ def repeated_spans(docs: DataFrame, column: str = "text") -> DataFrame:
     large = merged.groupBy("lo").agg(F.sum("n").alias("words")).where(F.col("words") > SHARD_WORDS).select("lo", F.ceil(F.col("words") / SHARD_WORDS * WINDOW).cast("long").alias("parts"))
     large = materialize(large, "large")
     dealt = join_small(runs.select("lo", "doc_id", "th", "start", "n", "run"), large, ["lo"], "left")
-    words = F.split("run", " ")
-    single = dealt.where("parts is not null").select("lo", "doc_id", "th", "start", "parts", words.alias("w"), F.explode(F.sequence(F.lit(0), F.col("n") - WINDOW)).alias("i"))
-    single = single.select("lo", "doc_id", "th", (F.col("start") + F.col("i")).alias("start"), F.array_join(F.slice("w", F.col("i") + 1, WINDOW), " ").alias("run"), "parts")
-    single = single.select("lo", "doc_id", "th", "start", "run", F.pmod(F.xxhash64("run"), F.col("parts")).alias("sub"))
+    single = dealt.where("parts is not null").select("lo", "doc_id", "th", "start", "run", "parts").mapInArrow(_split, "lo long, doc_id long, th long, start long, run string, sub long")
     pieces = dealt.where("parts is null").select("lo", "doc_id", "th", "start", "run", F.lit(-1).cast("long").alias("sub")).union(single)
     distinct = pieces.groupBy("lo", "sub", "run").agg(F.min("doc_id").alias("first"))
     least = distinct.repartition("lo", "sub").sortWithinPartitions("lo", "sub").select("lo", "sub", "run", "first").mapInArrow(_match, "lo long, run string, least array<long>")
