@@ -15,14 +15,13 @@ def plan_upload(local: DataFrame, remote: DataFrame) -> DataFrame:
     local_dup: another local name uploads it.
     """
     there = remote.select("name", F.col("md5").alias("_md5"), F.col("mime").alias("_mime"), F.col("blobid").alias("_blob"))
+    # By content, both sides aggregated before the join: a content that a third of all files share is one row here.
     content = remote.groupBy("md5").agg(F.min("blobid").alias("_any"))
-    first = F.row_number().over(Window.partitionBy("md5").orderBy("name"))
-    rows = local.join(there, "name", "left").join(content, "md5", "left").withColumn("_needs", F.col("_any").isNull())
-    # Only files that need an upload compete for being the first.
-    sent = rows.where("_needs").withColumn("_first", first).unionByName(rows.where("not _needs").withColumn("_first", F.lit(0)))
+    first = local.groupBy("md5").agg(F.min("name").alias("_first")).join(content, "md5", "left")
+    rows = local.join(there, "name", "left").join(first, "md5", "left")
     same = F.col("md5").eqNullSafe(F.col("_md5"))
-    action = F.when(same & F.col("mime").eqNullSafe(F.col("_mime")), "same").when(same, "mime").when(~F.col("_needs"), "relink").when(F.col("_first") == 1, "new").otherwise("local_dup")
-    return sent.select("name", "md5", "mime", action.alias("action"), F.when(same, F.col("_blob")).otherwise(F.col("_any")).alias("blobid"))
+    action = F.when(same & F.col("mime").eqNullSafe(F.col("_mime")), "same").when(same, "mime").when(F.col("_any").isNotNull(), "relink").when(F.col("name") == F.coalesce("_first", "name"), "new").otherwise("local_dup")
+    return rows.select("name", "md5", "mime", action.alias("action"), F.when(same, F.col("_blob")).otherwise(F.col("_any")).alias("blobid"))
 
 
 def overlay_distinct(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -82,4 +81,5 @@ def add_files(files: DataFrame, blobs: DataFrame) -> DataFrame:
 
 def first_local(local: DataFrame) -> DataFrame:
     """Which name of each content uploads it."""
-    return local.withColumn("is_first", F.row_number().over(Window.partitionBy("md5").orderBy("name")) == 1)
+    first = local.groupBy("md5").agg(F.min("name").alias("_first"))
+    return local.join(first, "md5").withColumn("is_first", F.col("name") == F.col("_first")).drop("_first")

@@ -57,9 +57,12 @@ def free_ids(used: DataFrame, wanted: int) -> DataFrame:
 
 def first_occurrence(blobs: DataFrame) -> DataFrame:
     """Each blob's canonical blob: the least id of its item with the same size and digests; empty or undigested blobs stand alone."""
-    same = Window.partitionBy("item", "size", "md5", "sha256")
     digested = (F.coalesce(F.length("md5"), F.lit(0)) + F.coalesce(F.length("sha256"), F.lit(0))) > 0
-    return blobs.select("item", "blobid", F.when((F.col("size") > 0) & digested, F.min("blobid").over(same)).otherwise(F.col("blobid")).alias("canonical"))
+    content = [F.coalesce(F.hex(c), F.lit("")) for c in ("md5", "sha256")]
+    rows = blobs.select("item", "blobid", "size", F.concat_ws("+", *content).alias("_c"), ((F.col("size") > 0) & digested).alias("_same"))
+    # An aggregate and a join instead of a window: a content of any number of blobs is one row.
+    first = rows.where("_same").groupBy("item", "size", "_c").agg(F.min("blobid").alias("_first"))
+    return rows.join(first, ["item", "size", "_c"], "left").select("item", "blobid", F.when(F.col("_same"), F.col("_first")).otherwise(F.col("blobid")).alias("canonical"))
 
 
 def pack_bundles(blobs: DataFrame, first: int = 1, cutoff: int = BUNDLE_BYTES) -> DataFrame:
