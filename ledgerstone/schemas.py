@@ -15,9 +15,6 @@ BLOBS = _struct(("item", _s), ("blobid", _i), ("size", _l), ("bundle", _i), ("cr
 VERSIONS = _struct(("item", _s), ("versionid", _i), ("created", _t), ("creator", _s), ("note", _s))
 SLOTS = _struct(("item", _s), ("versionid", _i), ("blobid", _i), ("name", _s))
 TABLES = {"items": ITEMS, "fixity": FIXITY, "blobs": BLOBS, "versions": VERSIONS, "slots": SLOTS}
-#: Schema versions in order: renamed columns of each step (table, old, new).
-MIGRATIONS = ((), (("items", "id", "item"), ("fixity", "lastchecked", "scheduled_time")), (), ())
-
 ITEM_INFO = _struct(
     ("ItemID", _s), ("ByteCount", _l), ("MaxBundle", _i),
     ("Versions", T.ArrayType(_struct(("VersionID", _i), ("SaveDate", _t), ("Creator", _s), ("Note", _s), ("Slots", T.MapType(_s, _i))))),

@@ -150,3 +150,17 @@ def test_audit_loop(spark, tmp_path):
     q = processes.audit_loop(ticks, lambda: fix, check, lambda t, n: saved.update({n: t.collect()}), str(tmp_path / "ck2"))
     q.awaitTermination()
     assert sorted(r.status for r in saved[0]) == ["ok", "scheduled"]
+
+
+def test_migrations(spark):
+    from ledgerstone.sources.migrations import upgrade
+
+    t = datetime(2024, 1, 1)
+    doc = '{"ItemID":"a","Versions":[{"VersionID":1,"Slots":{"s":1}}],"Blobs":[{"BlobID":1}]}'
+    items = spark.createDataFrame([("a", t, t, 1, doc), ("b", t, t, 1, None), ("b", t, t, 2, None)], "id string, created timestamp, modified timestamp, size int, value string")
+    fixity = spark.createDataFrame([("b", t, "ok", ""), ("a", t, "scheduled", "")], "id string, scheduled_time timestamp, status string, notes string")
+    tables, version = upgrade({"items": items, "fixity": fixity})
+    assert version == 4 and [r.item for r in tables["items"].collect()] == ["a"] and dict(tables["items"].dtypes)["size"] == "bigint"
+    assert [(r.id, r.item) for r in tables["fixity"].orderBy("id").collect()] == [(1, "a"), (2, "b")]
+    assert tables["slots"].first().name == "s" and tables["blobs"].count() == 1
+    assert upgrade(tables, 4)[1] == 4
