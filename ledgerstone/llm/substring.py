@@ -5,7 +5,8 @@ its grams of ``GRAM`` words, so equal windows have equal anchors (winnowing).
 Anchors that occur in several documents are kept with their least document,
 which names the reference shard: all runs of windows whose anchors begin in
 that document. Equal runs are merged, and shards of more than ``SHARD_WORDS``
-words are dealt by single windows. A suffix automaton of each shard, its
+words are dealt by anchors, or by single windows where one anchor has as
+many. A suffix automaton of each shard, its
 states marked with the least document in which they occur, then streams the
 shard's runs: matching statistics of at least ``WINDOW`` words give the least
 document of each window, and words under a window that begins in a document
@@ -233,16 +234,55 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs as their single windows, with the part of the shard that each goes to."""
+def _split(batches: Iterator[pa.RecordBatch], single: bool) -> Iterator[pa.RecordBatch]:
+    """Runs cut by the anchors of their windows or, with single, into their windows; sub: the anchor, or the window's hash."""
+    names = ["lo", "doc_id", "th", "start", "n", "run", "sub"]
     for batch in batches:
-        for row in range(batch.num_rows):
-            lo, doc, th, start, run, parts = (c[row].as_py() for c in batch.columns)
-            raw = run.encode("utf-8", "surrogateescape")
-            gaps = [-1, *np.flatnonzero(np.frombuffer(raw, np.uint8) == 32).tolist(), len(raw)]
-            pieces = [raw[a + 1 : b] for a, b in zip(gaps, gaps[WINDOW:], strict=False)]
-            n = len(pieces)
-            yield pa.RecordBatch.from_arrays([pa.array([lo] * n), pa.array([doc] * n), pa.array([th] * n), pa.array(np.arange(start, start + n)), pa.array([x.decode("utf-8", "surrogateescape") for x in pieces], pa.string()), pa.array([crc32(x) % parts for x in pieces], pa.int64())], ["lo", "doc_id", "th", "start", "run", "sub"])
+        buf, offsets = at.column_bytes(batch.column("run"))
+        lo, doc, th, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in names[:4])
+        for a, b in at.slices(offsets):
+            base = offsets[a]
+            part = buf[base : offsets[b]]
+            starts, ends, word, window, low = window_anchors(part, offsets[a : b + 1] - base)
+            row = np.searchsorted(word, window, "right") - 1
+            edge = np.concatenate([[True], (low[1:] != low[:-1]) | (row[1:] != row[:-1])]) | single if len(low) else np.zeros(0, bool)
+            x = np.flatnonzero(edge)
+            y = np.append(x[1:], len(low))  # each piece: windows x to y
+            raw, head, tail = part.tobytes(), starts[window[x]].tolist(), ends[window[y - 1] + WINDOW - 1].tolist()
+            pieces = [raw[i:j] for i, j in zip(head, tail, strict=True)]
+            owner = a + row[x]
+            sub = np.array([crc32(p) for p in pieces], np.int64) if single else low[x].view(np.int64)
+            cols = [lo[owner], doc[owner], th[owner], first[owner] + window[x] - word[row[x]], (y - x + WINDOW - 1).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], pa.array([p.decode("utf-8", "surrogateescape") for p in pieces], pa.string()), pa.array(sub)], names)
+
+
+def _too_large(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys whose distinct runs have more words than a shard may."""
+    merged = pieces.groupBy(*keys, "run").agg(F.first("n").alias("n"))
+    return materialize(merged.groupBy(*keys).agg(F.sum("n").alias("words")).where(F.col("words") > SHARD_WORDS).select(*keys, F.lit(True).alias("large")), "large")
+
+
+def _dealt(runs: DataFrame) -> DataFrame:
+    """Runs with their part of the shard (sub), cut so that a part's distinct runs fit an automaton.
+
+    A shard that is too long is dealt by the anchors of its windows, and an
+    anchor that is still too long by the windows themselves: equal windows
+    meet at either level, whatever surrounds them.
+    """
+    kind = "lo long, doc_id long, th long, start long, n int, run string, sub long"
+    columns = ["lo", "doc_id", "th", "start", "n", "run"]
+    large = _too_large(runs, ["lo"])
+    if not large.count():
+        return runs.withColumn("sub", F.lit(0).cast("long"))
+    marked = join_small(runs, large, ["lo"], "left")
+    whole = marked.where("large is null").select(*columns, F.lit(0).cast("long").alias("sub"))
+    cut = materialize(marked.where("large").select(*columns).mapInArrow(lambda b: _split(b, False), kind), "cut")
+    large = _too_large(cut, ["lo", "sub"])
+    if not large.count():
+        return whole.union(cut)
+    marked = join_small(cut, large, ["lo", "sub"], "left")
+    single = marked.where("large").select(*columns).mapInArrow(lambda b: _split(b, True), kind)
+    return whole.union(marked.where("large is null").select(*columns, "sub")).union(single)
 
 
 def repeated_spans(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -253,13 +293,7 @@ def repeated_spans(docs: DataFrame, column: str = "text") -> DataFrame:
     held = anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_list("h").alias("hs"), F.collect_list("lo").alias("ids"))  # as long as one document
     runs = texts.withColumn("th", F.xxhash64("text")).join(held, "doc_id").mapInArrow(_runs, "lo long, doc_id long, th long, start long, n int, run string")
     runs = materialize(runs, "runs")
-    # Shards that are too long for one automaton are dealt by single windows: equal ones meet, whatever surrounds them.
-    merged = runs.groupBy("lo", "run").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
-    large = merged.groupBy("lo").agg(F.sum("n").alias("words")).where(F.col("words") > SHARD_WORDS).select("lo", F.ceil(F.col("words") / SHARD_WORDS * WINDOW).cast("long").alias("parts"))
-    large = materialize(large, "large")
-    dealt = join_small(runs.select("lo", "doc_id", "th", "start", "n", "run"), large, ["lo"], "left")
-    single = dealt.where("parts is not null").select("lo", "doc_id", "th", "start", "run", "parts").mapInArrow(_split, "lo long, doc_id long, th long, start long, run string, sub long")
-    pieces = dealt.where("parts is null").select("lo", "doc_id", "th", "start", "run", F.lit(-1).cast("long").alias("sub")).union(single)
+    pieces = _dealt(runs)
     distinct = pieces.groupBy("lo", "sub", "run").agg(F.min("doc_id").alias("first"))
     least = distinct.repartition("lo", "sub").sortWithinPartitions("lo", "sub").select("lo", "sub", "run", "first").mapInArrow(_match, "lo long, run string, least array<long>")
     least = least.select("lo", F.md5("run").alias("ck"), "least")
