@@ -77,7 +77,10 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of consecutive windows with the same shard: lo, doc_id, the row's text hash, first window, words, text."""
+    """Runs of consecutive windows with the same shard: lo, doc_id, the row's text hash, first windows, words, text.
+
+    A row's equal runs are one, with the places of all of them.
+    """
     for batch in batches:
         buf, offsets = at.column_bytes(batch.column("text"))
         ids, marks = (batch.column(c).to_pylist() for c in ("doc_id", "th"))
@@ -95,13 +98,15 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard = np.where(h[place] == low, lo[place], np.int64(-1) << 62)
             known = h[place] == low
             edge = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (known[1:] != known[:-1])]))
-            raw = part.tobytes()
+            raw, found = part.tobytes(), {}
             for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(at_)], strict=True):
                 if known[x]:
                     words = [raw[a:b] for a, b in zip(starts[x : y + WINDOW - 1].tolist(), ends[x : y + WINDOW - 1].tolist(), strict=True)]
-                    for column, v in zip(out, (int(shard[x]), ids[r], marks[r], x, len(words), b" ".join(words)), strict=True):
-                        column.append(v)
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:4]], pa.array(out[4], pa.int32()), pa.array([x.decode("utf-8", "surrogateescape") for x in out[5]], pa.string())], ["lo", "doc_id", "th", "start", "n", "run"])
+                    found.setdefault((int(shard[x]), len(words), b" ".join(words)), []).append(x)
+            for (name, n, run), places in found.items():
+                for column, v in zip(out, (name, ids[r], marks[r], places, n, run), strict=True):
+                    column.append(v)
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.int32()), pa.array([x.decode("utf-8", "surrogateescape") for x in out[5]], pa.string())], ["lo", "doc_id", "th", "starts", "n", "run"])
 
 
 class Automaton:
@@ -210,16 +215,22 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = spans.slice(lo, hi - lo)
             sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
             flat = pc.list_flatten(part)
-            starts, hits = pc.struct_field(flat, "start").to_numpy(zero_copy_only=False), pc.struct_field(flat, "hit")
-            each = pc.list_value_length(hits).to_numpy(zero_copy_only=False).astype(np.int64)
-            span = np.repeat(np.arange(len(each)), each)
-            place = starts.astype(np.int64)[span] + np.arange(len(span)) - (np.cumsum(each) - each)[span]
+            starts, hits = pc.struct_field(flat, "starts"), pc.struct_field(flat, "hit")
+            times, each = (pc.list_value_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (starts, hits))
+            begin = pc.list_flatten(starts).to_numpy(zero_copy_only=False).astype(np.int64)
+            flags = pc.list_flatten(hits).to_numpy(zero_copy_only=False).astype(bool)
+            # Every place of a span, with the span's flags.
+            span = np.repeat(np.arange(len(each)), times)
+            long = each[span]
+            place = np.repeat(np.arange(len(span)), long)
+            step = np.arange(len(place)) - (np.cumsum(long) - long)[place]
+            hit = flags[(np.cumsum(each) - each)[span][place] + step]
+            place, step = place[hit], step[hit]
             owner = np.repeat(np.arange(hi - lo), sizes)[span]
-            hit = pc.list_flatten(hits).to_numpy(zero_copy_only=False).astype(bool)
             base = offsets[lo]
             word, end, first = at.word_bounds(buf[base : offsets[hi]], offsets[lo : hi + 1] - base)
             drop = np.zeros(len(word) + 1, np.int64)
-            where = first[owner[hit]] + place[hit]
+            where = first[owner[place]] + begin[place] + step
             np.add.at(drop, where, 1)
             np.add.at(drop, where + WINDOW, -1)
             cover = np.cumsum(drop)[:-1] > 0
@@ -236,10 +247,11 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _split(batches: Iterator[pa.RecordBatch], single: bool) -> Iterator[pa.RecordBatch]:
     """Runs cut by the anchors of their windows or, with single, into their windows; sub: the anchor, or the window's hash."""
-    names = ["lo", "doc_id", "th", "start", "n", "run", "sub"]
+    names = ["lo", "doc_id", "th", "starts", "n", "run", "sub"]
     for batch in batches:
         buf, offsets = at.column_bytes(batch.column("run"))
-        lo, doc, th, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in names[:4])
+        lo, doc, th = (batch.column(c).to_pylist() for c in names[:3])
+        places = batch.column("starts")
         for a, b in at.slices(offsets):
             base = offsets[a]
             part = buf[base : offsets[b]]
@@ -248,12 +260,14 @@ def _split(batches: Iterator[pa.RecordBatch], single: bool) -> Iterator[pa.Recor
             edge = np.concatenate([[True], (low[1:] != low[:-1]) | (row[1:] != row[:-1])]) | single if len(low) else np.zeros(0, bool)
             x = np.flatnonzero(edge)
             y = np.append(x[1:], len(low))  # each piece: windows x to y
-            raw, head, tail = part.tobytes(), starts[window[x]].tolist(), ends[window[y - 1] + WINDOW - 1].tolist()
-            pieces = [raw[i:j] for i, j in zip(head, tail, strict=True)]
-            owner = a + row[x]
-            sub = np.array([crc32(p) for p in pieces], np.int64) if single else low[x].view(np.int64)
-            cols = [lo[owner], doc[owner], th[owner], first[owner] + window[x] - word[row[x]], (y - x + WINDOW - 1).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], pa.array([p.decode("utf-8", "surrogateescape") for p in pieces], pa.string()), pa.array(sub)], names)
+            raw, found = part.tobytes(), {}
+            at_, sub, n = (window[x] - word[row[x]]).tolist(), low[x].view(np.int64).tolist(), (y - x + WINDOW - 1).tolist()
+            for k, (i, j) in enumerate(zip(starts[window[x]].tolist(), ends[window[y - 1] + WINDOW - 1].tolist(), strict=True)):
+                r, piece = a + int(row[x[k]]), raw[i:j]
+                key = (lo[r], doc[r], th[r], n[k], piece, crc32(piece) if single else sub[k])
+                found.setdefault(key, []).extend(s + at_[k] for s in places[r].as_py())
+            cols = list(zip(*found, strict=True)) if found else [[]] * 6
+            yield pa.RecordBatch.from_arrays([*[pa.array(cols[i], pa.int64()) for i in range(3)], pa.array(list(found.values()), pa.list_(pa.int64())), pa.array(cols[3], pa.int32()), pa.array([p.decode("utf-8", "surrogateescape") for p in cols[4]], pa.string()), pa.array(cols[5], pa.int64())], names)
 
 
 def _too_large(pieces: DataFrame, keys: list[str]) -> DataFrame:
@@ -269,8 +283,8 @@ def _dealt(runs: DataFrame) -> DataFrame:
     anchor that is still too long by the windows themselves: equal windows
     meet at either level, whatever surrounds them.
     """
-    kind = "lo long, doc_id long, th long, start long, n int, run string, sub long"
-    columns = ["lo", "doc_id", "th", "start", "n", "run"]
+    kind = "lo long, doc_id long, th long, starts array<long>, n int, run string, sub long"
+    columns = ["lo", "doc_id", "th", "starts", "n", "run"]
     large = _too_large(runs, ["lo"])
     if not large.count():
         return runs.withColumn("sub", F.lit(0).cast("long"))
@@ -286,19 +300,19 @@ def _dealt(runs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, column: str = "text") -> DataFrame:
-    """doc_id, th (xxhash64 of the text) and spans: array of (start: first window, hit: whether each window is to go)."""
+    """doc_id, th (xxhash64 of the text) and spans: array of (starts: first windows, hit: whether each window from there is to go)."""
     texts = docs.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("text"))
     anchors = texts.mapInArrow(_anchors, "h long, doc_id long")
     shared = anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
     held = anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_list("h").alias("hs"), F.collect_list("lo").alias("ids"))  # as long as one document
-    runs = texts.withColumn("th", F.xxhash64("text")).join(held, "doc_id").mapInArrow(_runs, "lo long, doc_id long, th long, start long, n int, run string")
+    runs = texts.withColumn("th", F.xxhash64("text")).join(held, "doc_id").mapInArrow(_runs, "lo long, doc_id long, th long, starts array<long>, n int, run string")
     runs = materialize(runs, "runs")
     pieces = _dealt(runs)
     distinct = pieces.groupBy("lo", "sub", "run").agg(F.min("doc_id").alias("first"))
     least = distinct.repartition("lo", "sub").sortWithinPartitions("lo", "sub").select("lo", "sub", "run", "first").mapInArrow(_match, "lo long, run string, least array<long>")
     least = least.select("lo", F.md5("run").alias("ck"), "least")
-    found = pieces.select("lo", F.md5("run").alias("ck"), "doc_id", "th", "start").join(least, ["lo", "ck"])
-    hits = found.select("doc_id", "th", F.struct("start", F.transform("least", lambda m: m < F.col("doc_id")).alias("hit")).alias("span")).where(F.exists("span.hit", lambda x: x))
+    found = pieces.select("lo", F.md5("run").alias("ck"), "doc_id", "th", "starts").join(least, ["lo", "ck"])
+    hits = found.select("doc_id", "th", F.struct("starts", F.transform("least", lambda m: m < F.col("doc_id")).alias("hit")).alias("span")).where(F.exists("span.hit", lambda x: x))
     return hits.groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
 
 
