@@ -30,9 +30,9 @@ from ledgerstone.llm import arrow_text as at
 
 WINDOW = 16
 MASK_BITS = 9
-#: Entries after which a worker's caches are emptied.
+#: Entries after which a worker's chunks are dropped and its words become the old generation.
 CHUNKS_KEPT = 20_000
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 200_000
 _workers: dict[str, Encoder] = {}
 
 
@@ -52,12 +52,22 @@ class Encoder:
             self.names[i] = b" " + token.encode()
             self.closing[i] = token.endswith("</w>")
         self.ids: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, tuple] = {}
 
     def learn(self, words: set[bytes]) -> None:
         """Cache the ids of words: their keys that are new are encoded, plain ones in one text, others each by itself."""
-        parted = {w: keys_of(w) for w in words}
-        new = {k for keys in parted.values() for k in keys if k not in self.ids}
+        old, parted, new = self.old, {}, set()
+        for w in words:
+            if w in old:
+                self.ids[w] = old[w]
+            else:
+                parted[w] = keys_of(w)
+                for k in parted[w]:
+                    if k in old:
+                        self.ids[k] = old[k]
+                    elif k not in self.ids:
+                        new.add(k)
         plain = [w for w in new if w.isalpha()]  # ASCII letters only, so one split of the tokenizer each
         if plain:
             ids = np.array(self.tok.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
@@ -83,7 +93,7 @@ class Encoder:
         if len(self.chunks) > CHUNKS_KEPT:
             self.chunks = {}
         if len(self.ids) > WORDS_KEPT:
-            self.ids = {}
+            self.ids, self.old = {}, self.ids
         plans, need, have = [], set(), self.ids
         for text, ends in zip(texts, cuts, strict=True):
             plan, start, carry = [], 0, b""
@@ -181,8 +191,9 @@ def encode_batches(batches: Iterator[pa.RecordBatch], column: str, path: str, gi
         worker = _workers[path] = Encoder(path)
     for batch in batches:
         buf, offsets = at.column_bytes(batch.column(column))
-        counts, digests, decoded, ids = [], [], [], []
+        kept = [c for c in batch.schema.names if c != column]
         for lo, hi in at.slices(offsets):
+            counts, digests, decoded, ids = [], [], [], []
             a, b = offsets[lo], offsets[hi]
             part, off = buf[a:b], offsets[lo : hi + 1] - a
             raw, bounds = part.tobytes(), off.tolist()
@@ -193,9 +204,9 @@ def encode_batches(batches: Iterator[pa.RecordBatch], column: str, path: str, gi
                 decoded.append(hashlib.sha256(worker.decode(x)).hexdigest())
                 if give_ids:
                     ids.append(np.frombuffer(x, "<u4").astype(np.int32))
-        kept = [c for c in batch.schema.names if c != column]
-        more = [pa.array(ids, pa.list_(pa.int32()))] if give_ids else []
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *more, pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], [*kept, *["ids"] * give_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
+            more = [pa.array(ids, pa.list_(pa.int32()))] if give_ids else []
+            rows = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], *more, pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], [*kept, *["ids"] * give_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def encode_documents(docs: DataFrame, path: str, column: str = "text", give_ids: bool = True) -> DataFrame:
