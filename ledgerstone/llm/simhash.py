@@ -196,13 +196,13 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
 
 
 def near_components(prints: DataFrame) -> DataFrame:
-    """``fp``, ``component_id`` (least doc_id reachable) from rows (doc_id, fp)."""
+    """``fp``, ``root`` (least fingerprint reachable), ``component_id`` (least doc_id reachable) from rows (doc_id, fp)."""
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "prints")
     roots = connected_components(fingerprint_links(classes.select("fp")))
     # Few fingerprints have a root of another: the rest stand for themselves.
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return named.select("fp", "root").join(least, "root").select("fp", "component_id")
+    return named.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
 
 
 def near_copies(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -213,11 +213,12 @@ def near_copies(docs: DataFrame, column: str = "text") -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, column: str = "text") -> DataFrame:
-    """docs with one row of each component: that of its least doc_id (of repeated rows, one)."""
+    """docs with one row of each component: that of its least doc_id, null only if it has no other (of repeated rows, one)."""
     prints = materialize(with_fingerprint(docs.select("doc_id", column), column, "fp", drop_text=True), "fingerprints")
     kept = prints.join(near_components(prints), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Rows of one document may have several texts: the component's row has the least fingerprint of them.
-    kept = kept.groupBy("component_id").agg(F.min("doc_id").alias("_id"), F.min("fp").alias("_print")).drop("component_id")
+    # Components may share their least doc_id or have none, so their root names them. Rows of one document
+    # may have several texts: the component's row has the least fingerprint of them.
+    kept = kept.groupBy("root").agg(F.min("doc_id").alias("_id"), F.min("fp").alias("_print")).drop("root")
     packed = docs.select("doc_id", F.col(column).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     marked = with_fingerprint(packed, drop_text=True)
     match = marked["_fp"].eqNullSafe(kept["_print"]) & marked["doc_id"].eqNullSafe(kept["_id"])

@@ -101,6 +101,15 @@ def test_near_copies(spark, docs, none):
     assert simhash.near_copies(none).collect() == [] and simhash.drop_near_copies(none).collect() == []
 
 
+def test_components_that_share_a_least_id_or_have_none(spark):
+    r = [random.Random(n) for n in range(5)]
+    one, two, three, four, five = [" ".join("".join(x.choices("abcdefgh", k=5)) for _ in range(60)) for x in r]
+    rows = [(None, one), (None, one), (None, two), (7, three), (8, three), (7, four), (9, four), (None, five), (3, five)]
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, one), (None, two), (7, three), (7, four), (3, five)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("most", [2048, 3])
 def test_links_of_dense_groups(spark, monkeypatch, most):
     monkeypatch.setattr(simhash, "LIST_MOST", most)
