@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,6 +152,11 @@ def _parts(chunk: bytes) -> tuple[bytes, _Words | None, bytes]:
 MARKS = b".,!?;:*%$&#"
 
 
+def _stays_letter(c: str) -> bool:
+    """Whether a letter still ends in a letter once composed and lowered; else its mark joins the closing marks."""
+    return c.isalpha() and unicodedata.normalize("NFC", unicodedata.normalize("NFC", c).lower())[-1].isalpha()
+
+
 def keys_of(word: bytes) -> list[bytes]:
     """Cache keys whose ids, joined, are the word's ids.
 
@@ -162,7 +168,7 @@ def keys_of(word: bytes) -> list[bytes]:
         word = word.lower()
     if word[-1] in MARKS:
         core = word.rstrip(MARKS)
-        if core and (core[-1:].isalnum() or (core[-1] >= 128 and core.decode()[-1].isalpha())):
+        if core and (core[-1:].isalnum() or (core[-1] >= 128 and _stays_letter(core.decode()[-1]))):
             return [core, word[len(core) :]]
     return [word]
 

@@ -98,6 +98,13 @@ def test_ids_are_the_library_s(tok, texts):
         assert tok.decode(ids).decode() == tok.tok.decode(want, skip_special_tokens=False)
 
 
+def test_letters_that_become_letter_and_mark(tok):
+    letters = [c for c in map(chr, range(128, 0x110000)) if c.isalpha()]
+    texts = ["TARİHİ. aİ, पहाड़, \ufb2a.", *[" ".join(f"a{c}." for c in letters[i : i + 500]) for i in range(0, len(letters), 500)]]
+    want = [x.ids for x in tok.tok.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(tok, texts)] == want
+
+
 def test_chunks_are_shared_and_joined(tok):
     r = np.random.default_rng(2)
     passage = " ".join("".join(r.choice(list("abcdefgh"), 5)) for _ in range(900))
