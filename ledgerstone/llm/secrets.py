@@ -40,13 +40,16 @@ class Rule:
 
 #: Fixed patterns. The first three are the base kinds, in this order.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=\-]+)"""
+PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
 RULES = (
     Rule("assign", ASSIGN, 12, True, r"""[A-Za-z_]+["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=\-]+)"""),
     Rule("access", r"AKIA[A-Z0-9]+", 18),
     Rule("hex", r"[0-9a-f]{16,}", 16),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),
+    # A key's first line with what follows of a body that may have no end, and the key up to its END line.
+    Rule("pem", PEM + r"[A-Za-z0-9+/=\\\x0d\n]*", 1),
     Rule("hub", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("cloud", r"AIza[A-Za-z0-9_\-]+", 39),
+    Rule("key", PEM + r"(-{0,4}[^\-])*-----END [A-Z ]*PRIVATE KEY-----", 1),
 )
 BASE_KINDS = ("assign", "access", "hex")
 PLACEHOLDER = "[secret]"

@@ -46,6 +46,17 @@ def test_other_kinds():
     assert {secrets.RULES[k].kind for _, _, k in scanned([text])[0]} >= {"pem", "hub", "cloud"}
 
 
+def test_private_keys_go_with_their_bodies(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA7b+/x" * 3] * 20 + ["Zz9="])
+    head, end = "-----BEGIN RSA PRIVATE KEY-----\n", "\n-----END RSA PRIVATE KEY-----"
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    texts = [f"é {head}{body}{end} after", f"é {head}{headers}  {body}{end} after", f"é {head}{body}{end} after {head}{body}{end} after", f"é {head}{body} after", f"é {end} {head.strip()} after"]
+    gone = [f"é {secrets.PLACEHOLDER} after", f"é {secrets.PLACEHOLDER} after", f"é {secrets.PLACEHOLDER} after {secrets.PLACEHOLDER} after", f"é {secrets.PLACEHOLDER} after", f"é {end} {secrets.PLACEHOLDER} after"]
+    rows = secrets.redact_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        assert r.text == gone[r.doc_id]
+
+
 def test_lanes_equal_one_pass():
     r = np.random.default_rng(0)
     raw = "".join(r.choice(["password=", "abcdef0123", "AKIA", " ", "Zz9"], 4000))
