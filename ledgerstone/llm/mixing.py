@@ -23,9 +23,10 @@ from ledgerstone.llm.shared import join_small, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_REPEATS = 3
-#: Words of a block; fewer where the corpus would make fewer than ``LEAST_BLOCKS`` of them.
+#: Words of a block; fewer where the corpus would make fewer than ``LEAST_BLOCKS`` of them, or a source's target fewer than ``TARGET_BLOCKS``.
 BLOCK_WORDS = 2048
 LEAST_BLOCKS = 1 << 20
+TARGET_BLOCKS = 64
 #: Words for each shard of a source, and most shards of one.
 SHARD_WORDS = 1 << 17
 MOST_SHARDS = 4096
@@ -45,7 +46,7 @@ def sainte_lague(df: DataFrame, group: list[str], key: list[str], value: str, se
     """
     of = Window.partitionBy(*group)
     df = df.withColumn("_v", F.sum(value).over(of)).withColumn("_n", F.count("*").over(of))
-    df = df.withColumn("_base", F.when(F.col("_v") > 0, F.floor(F.col(value) * F.col(seats) / F.col("_v") + 0.5)).otherwise(0).cast("long"))
+    df = df.withColumn("_base", F.when(F.col("_v") > 0, F.floor(F.col(value).cast("double") * F.col(seats) / F.col("_v") + 0.5)).otherwise(0).cast("long"))
     df = df.withColumn("_more", F.when(F.col("_v") > 0, F.col(seats) - F.sum("_base").over(of)).otherwise(0).cast("long"))
     reach = F.ceil(F.col(value) / F.col("_v") * F.col("_n") / 2).cast("long") + 2
     tries = F.when((F.col("_more") == 0) | F.col("_v").isNull() | (F.col("_v") <= 0), F.lit(0).cast("long")).otherwise(reach)
@@ -73,7 +74,10 @@ def targets(sizes: DataFrame) -> DataFrame:
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     src = src.withColumn("_level", F.first(F.when(F.col("_cap") / F.col("_w") > F.col("_level"), F.col("_level")), True).over(whole))
     src = src.withColumn("target", F.least(F.col("_cap").cast("double"), F.coalesce(F.col("_w") * F.col("_level"), F.col("_cap").cast("double"))))
-    src = src.withColumn("_block", F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), (F.col("_total") / LEAST_BLOCKS).cast("long"))).cast("long"))
+    # Blocks are only counted, never laid out, so a small source may make them small for all.
+    smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(all_)
+    block = F.least(F.lit(BLOCK_WORDS), (F.col("_total") / LEAST_BLOCKS).cast("long"), (smallest / TARGET_BLOCKS).cast("long"))
+    src = src.withColumn("_block", F.greatest(F.lit(1), block).cast("long"))
     src = src.withColumn("_all", F.round(F.col("_total") / F.col("_block")).cast("long"))
     src = sainte_lague(src, [], ["_null", "_name"], "target", "_all", "_blocks")
     shards = F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / SHARD_WORDS))).cast("int")

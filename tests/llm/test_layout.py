@@ -74,6 +74,19 @@ def test_full_sources_repeat_three_times(spark):
     assert sum(r.taken for r in got) == pytest.approx(400 * 50, rel=0.001)
 
 
+def test_small_sources_stay_in_the_mix_at_full_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_BLOCKS", 1)  # blocks as of 2^31 words
+    rows = [(i, "w " * 500, "abc"[i % 3]) for i in range(300)] + [(1000 + i, "w " * n, f"small{n}") for i, n in enumerate((1, 7, 90, 340))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, target = defaultdict(int), {}
+    for r in mixing.mix(df).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    for s, want in target.items():
+        assert abs(taken[s] - want) <= 0.01 * want + 1
+    assert {r.source for r in mixing.mix_documents(df).select("source").collect()} == set(target)
+
+
 def test_mix_documents_takes_what_mix_says(spark, docs, none):
     taken, words = defaultdict(int), defaultdict(int)
     for r in mixing.mix(docs).collect():
