@@ -66,6 +66,14 @@ def patch_uploads(files: DataFrame, patches: DataFrame, now: datetime) -> DataFr
     return files.join(p, "id", "left").select(*[{"extra": F.coalesce("_extra", "extra"), "mimetype": F.coalesce("_mime", "mimetype"), "modified": F.when(F.col("_hit"), F.lit(now).cast(dict(files.dtypes).get("modified", "timestamp"))).otherwise(F.col("modified"))}.get(c, F.col(c)).alias(c) for c in files.columns])
 
 
+def set_file_fields(files: DataFrame, changes: DataFrame, now: datetime) -> DataFrame:
+    """Fields of changes (id, creator, md5, sha256, mimetype, extra; one row of a file) that aren't null replace a file's, empty ones too; its modified time moves."""
+    names = ["creator", "md5", "sha256", "mimetype", "extra"]
+    c = changes.select("id", *[F.col(n).alias(f"_{n}") for n in names], F.lit(True).alias("_hit"))
+    new = {n: F.coalesce(f"_{n}", n) for n in names} | {"modified": F.when(F.col("_hit"), F.lit(now).cast(dict(files.dtypes)["modified"])).otherwise(F.col("modified"))}
+    return files.join(c, "id", "left").select(*[new[n].alias(n) if n in new else F.col(n) for n in files.columns])
+
+
 def last_note(commands: DataFrame) -> DataFrame:
     """The note that stays of each transaction: the last one."""
     return commands.where("verb = 'note'").groupBy("tx").agg(F.max_by("arg", "position").alias("note"))

@@ -79,10 +79,27 @@ def expired_uploads(uploads: DataFrame, now: datetime) -> DataFrame:
     return uploads.where(F.col("modified") <= F.lit(now) - F.expr(f"interval {UPLOAD_DAYS} days"))
 
 
-def append_commands(transactions: DataFrame, batches: DataFrame) -> DataFrame:
-    """batches (tx, new: array of commands) are appended only if every command is well-formed."""
+def append_commands(transactions: DataFrame, batches: DataFrame, now: datetime) -> DataFrame:
+    """batches (tx, new: array of commands) are appended only if every command is well-formed; the modified time moves then."""
     b = batches.where(F.forall("new", well_formed))
-    return transactions.join(b, "tx", "left").withColumn("commands", F.when(F.col("new").isNotNull(), F.concat("commands", "new")).otherwise(F.col("commands"))).drop("new")
+    hit = F.col("new").isNotNull()
+    out = transactions.join(b.select("tx", "new"), "tx", "left").withColumn("commands", F.when(hit, F.concat("commands", "new")).otherwise(F.col("commands")))
+    return out.withColumn("modified", F.when(hit, F.lit(now).cast(dict(transactions.dtypes)["modified"])).otherwise(F.col("modified"))).drop("new")
+
+
+def set_status(transactions: DataFrame, changes: DataFrame, now: datetime) -> DataFrame:
+    """Transactions with the status of changes (tx, status; one row of a transaction); the modified time moves."""
+    c = changes.select("tx", F.col("status").alias("_status"))
+    hit = F.col("_status").isNotNull()
+    out = transactions.join(c, "tx", "left").withColumn("modified", F.when(hit, F.lit(now).cast(dict(transactions.dtypes)["modified"])).otherwise(F.col("modified")))
+    return out.withColumn("status", F.coalesce("_status", "status")).drop("_status")
+
+
+def append_errors(transactions: DataFrame, errors: DataFrame) -> DataFrame:
+    """errors (tx, position, error) go behind a transaction's ``errors`` in order; nothing is saved, so the modified time stays."""
+    rows = errors.groupBy("tx").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "error"))), lambda x: x["error"]).alias("_new"))
+    out = transactions.join(rows, "tx", "left")
+    return out.withColumn("errors", F.concat("errors", F.coalesce("_new", F.array().cast("array<string>")))).drop("_new")
 
 
 def replay(commands: DataFrame, known: DataFrame) -> DataFrame:

@@ -172,3 +172,31 @@ def test_ttl(spark):
     log = spark.createDataFrame([(f"k{i}", at(0)) for i in range(100)] + [(f"k{i}", at(0.5)) for i in range(0, 100, 2)] + [(f"k{i}", at(1.1)) for i in range(100)], "key string, ts timestamp")
     last = caching.ttl_hits(log, 1).where(F.col("ts") == F.lit(at(1.1))).collect()
     assert {int(r.key[1:]) for r in last if r.hit} == set(range(0, 100, 2))
+
+
+def test_file_fields(spark):
+    old = datetime(2020, 1, 1)
+    files = spark.createDataFrame([("a", "me", None, None, "text/plain", "x", old), ("b", "me", "m", "s", "", "y", old)], "id string, creator string, md5 string, sha256 string, mimetype string, extra string, modified timestamp")
+    patched = dml.patch_uploads(files, spark.createDataFrame([("a", "", "image/png")], "id string, extra string, mimetype string"), NOW)
+    assert sorted(map(tuple, patched.select(*files.columns).collect())) == [("a", "me", None, None, "image/png", "x", NOW), ("b", "me", "m", "s", "", "y", old)]
+    changes = spark.createDataFrame([("a", "you", "m1", "s1", None, "")], "id string, creator string, md5 string, sha256 string, mimetype string, extra string")
+    assert sorted(map(tuple, dml.set_file_fields(files, changes, NOW).collect())) == [("a", "you", "m1", "s1", "text/plain", "", NOW), ("b", "me", "m", "s", "", "y", old)]
+
+
+def test_transaction_changes(spark):
+    old = datetime(2020, 1, 1)
+    tx = spark.createDataFrame([("t1", 1, [["note", "a"]], ["e0"], old), ("t2", 1, [], [], old)], "tx string, status int, commands array<array<string>>, errors array<string>, modified timestamp")
+    rows = lambda df: sorted(map(tuple, df.select(*tx.columns).collect()))
+    batches = spark.createDataFrame([("t1", [["sleep"], ["delete", "4"]]), ("t2", [["sleep"], ["delete", "x"]])], "tx string, new array<array<string>>")
+    assert rows(transactions.append_commands(tx, batches, NOW)) == [("t1", 1, [["note", "a"], ["sleep"], ["delete", "4"]], ["e0"], NOW), ("t2", 1, [], [], old)]
+    assert rows(transactions.set_status(tx, spark.createDataFrame([("t2", 2)], "tx string, status int"), NOW)) == [("t1", 1, [["note", "a"]], ["e0"], old), ("t2", 2, [], [], NOW)]
+    errors = spark.createDataFrame([("t1", 2, "b"), ("t1", 1, "c")], "tx string, position int, error string")
+    assert rows(transactions.append_errors(tx, errors)) == [("t1", 1, [["note", "a"]], ["e0", "c", "b"], old), ("t2", 1, [], [], old)]
+
+
+def test_last_note_and_item_document(spark):
+    commands = spark.createDataFrame([("t", 1, "note", "old"), ("t", 3, "note", "new"), ("t", 4, "add", "f"), ("u", 1, "add", "f")], "tx string, position int, verb string, arg string")
+    assert [tuple(r) for r in dml.last_note(commands).collect()] == [("t", "new")]
+    items = spark.createDataFrame([("a", '{"ItemID": "a"}'), ("b", '{"ItemID": "b"}')], "item string, value string")
+    assert [(r.item, r.doc.ItemID) for r in catalog.item_document(items, "b").collect()] == [("b", "b")]
+    assert catalog.item_document(items, "c").collect() == []

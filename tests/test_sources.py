@@ -164,3 +164,10 @@ def test_migrations(spark):
     assert [(r.id, r.item) for r in tables["fixity"].orderBy("id").collect()] == [(1, "a"), (2, "b")]
     assert tables["slots"].first().name == "s" and tables["blobs"].count() == 1
     assert upgrade(tables, 4)[1] == 4
+
+
+def test_documents_keys_and_throughput(spark):
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "key string, value string")
+    assert sorted(map(tuple, text.document_store(rows(("a", "1"), ("b", "2")), rows(("b", "3"), ("c", "4"))).collect())) == [("a", "1"), ("b", "3"), ("c", "4")]
+    assert sorted(r.key for r in stores.key_list(spark, ['["x", "y"]', "[]", '["z"]']).collect()) == ["x", "y", "z"]
+    assert stores.throughput(spark.createDataFrame([(3_000_000, 1.0), (1_000_000, 1.0)], "size long, seconds double")).first().mb_per_s == 2.0
