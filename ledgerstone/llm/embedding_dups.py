@@ -1,12 +1,20 @@
 """Embedding near-dedup by collision-counting projections.
 
-Every distinct vector is projected on ``PROJECTIONS`` seeded directions. The
-first projection sorts the vectors; blocks of the sorted order meet where
-their ranges are within the window. For each pair of two such blocks the
-collisions of the query-centred windows are counted over all projections, and
-pairs that reach a count calibrated for ``RECALL`` at the threshold cosine are
-verified in double precision. A pair of blocks gives link counts and a
-spanning forest of its links, never all its pairs.
+Every distinct vector is projected on many seeded directions. A line holds all
+vectors sorted by one projection, within cells cut by the signs of further
+ones; a query's window is the stretch of its cell whose projections lie within
+``WIDTH`` deviations of its own. A pair's count is the number of lines on which
+the two meet in a window; pairs that reach the count calibrated for ``RECALL``
+at the threshold cosine are verified in double precision. A pair is counted,
+over all lines, on the first line where it meets, so that it is verified once.
+
+Windows on bare lines hold about a third of all vectors at 64 dimensions and a
+cosine of 0.95, whatever their number, so their collisions would grow with its
+square. Cells keep them to about ``CELL`` vectors; lines are added as cells are
+cut finer, so that the recall stays. A cell of any size is cut into blocks of
+its sorted order, and blocks within a window of one another meet in a task of
+their own, which gives link counts and a spanning forest of its links, never
+all its pairs.
 
 Vectors that are null, empty, zero or hold null or non-finite components link
 with nothing; equal vectors are one entry with its multiplicity, so copies of
@@ -18,7 +26,8 @@ tables give empty results; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb, erf, sqrt
+from dataclasses import dataclass
+from math import acos, comb, erf, log2, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -32,71 +41,117 @@ from ledgerstone.llm.simhash import _forest
 
 COSINE = 0.95
 RECALL = 0.999
-PROJECTIONS = 16
+#: Lines on which a candidate must meet at least.
+LEAST = 2
 #: Half-width of a window, in standard deviations of the difference of a pair at the threshold.
 WIDTH = 1.9
+#: Vectors of a cell, if they spread evenly, and rows of a block.
+CELL = 32
 BLOCK = 2048
 SEED = 11
+#: Candidate pairs that are counted at a time.
+STRIP = 1 << 16
 
 
-def directions(dims: int, seed: int = SEED) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((PROJECTIONS, dims))
+@dataclass(frozen=True)
+class Lines:
+    """How many lines, the sign bits of their cells, the half-width of their windows, and the calibrated count."""
 
+    number: int
+    bits: int
+    width: float
+    least: int
+    seed: int
 
-def calibrated(cosine: float = COSINE, recall: float = RECALL) -> tuple[float, int]:
-    """Half-width of the windows, and the count that a pair at the threshold reaches with probability ``recall``.
+    def place(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell and the projection of each vector on each line, by one direction that sorts it and one for each sign."""
+        across = np.random.default_rng(self.seed).standard_normal((unit.shape[1], self.number * (1 + self.bits)))
+        all_ = (unit @ across).reshape(len(unit), self.number, 1 + self.bits)
+        cell = (all_[:, :, 1:] > 0) @ (1 << np.arange(self.bits, dtype=np.int64))
+        return cell.astype(np.int32), all_[:, :, 0].astype(np.float32)
 
-    The difference of two unit vectors is projected to a normal variable with
-    their distance as deviation, so a window is met with a known probability.
-    """
-    spread = sqrt(max(0.0, 2 * (1 - cosine)))
-    p = erf(WIDTH / sqrt(2))
-    tail = lambda least: sum(comb(PROJECTIONS, k) * p**k * (1 - p) ** (PROJECTIONS - k) for k in range(least, PROJECTIONS + 1))
-    return WIDTH * spread, max(t for t in range(PROJECTIONS + 1) if tail(t) >= recall)
-
-
-def block_links(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, same: bool, cosine: float, width: float, least: int):
-    """Index pairs of verified links between two blocks (unit rows x, y; projections px, py), a strip at a time."""
-    for lo in range(0, len(x), 256):
-        strip = px[lo : lo + 256]
-        tally = np.zeros((len(strip), len(y)), np.uint8)
-        for k in range(PROJECTIONS):
-            tally += np.abs(strip[:, k, None] - py[None, :, k]) <= width
-        i, j = np.nonzero(tally >= least)
-        i += lo
-        if same:
-            i, j = i[i < j], j[i < j]
-        for a in range(0, len(i), 1 << 15):
-            u, v = i[a : a + (1 << 15)], j[a : a + (1 << 15)]
-            ok = np.einsum("ij,ij->i", x[u], y[v]) >= cosine
-            yield u[ok], v[ok]
-
-
-def _lead(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    """Adds each vector's place on the first projection."""
-    for batch in batches:
-        lead = np.zeros(batch.num_rows)
-        for r, e in enumerate(batch.column("e").to_numpy(zero_copy_only=False)):
-            e = np.asarray(e, np.float64)
-            lead[r] = directions(len(e), seed)[0] @ (e / np.linalg.norm(e))
-        yield batch.append_column("lead", pa.array(lead))
 
+def calibrated(rows: int, cosine: float = COSINE, recall: float = RECALL, seed: int = SEED) -> Lines:
+    """Lines for so many vectors: a pair at the threshold meets on ``LEAST`` of them with probability ``recall``.
 
-def _pair(pdf: pd.DataFrame, cosine: float, seed: int) -> pd.DataFrame:
-    """Link counts (node, n) and links (node, other) of one pair of blocks."""
-    width, least = calibrated(cosine)
-    pdf = pdf.sort_values(["side", "rep"])
+    Two unit vectors fall on one side of a random direction with a probability
+    given by their angle, and their projections differ by a normal variable
+    with their distance as deviation, whatever the vectors.
+    """
+    bits = min(31, max(0, round(log2(max(rows, 1) / CELL))))
+    meet = (1 - acos(cosine) / pi) ** bits * erf(WIDTH / sqrt(2))
+    number = LEAST
+    while sum(comb(number, k) * meet**k * (1 - meet) ** (number - k) for k in range(LEAST)) > 1 - recall:
+        number += 1
+    return Lines(number, bits, WIDTH * sqrt(max(0.0, 2 * (1 - cosine))), LEAST, seed)
+
+
+def window_pairs(cell_x: np.ndarray, at_x: np.ndarray, cell_y: np.ndarray, at_y: np.ndarray, width: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places whose rows share a cell and a window (or nearly); both sides in order of cell and projection."""
+    lo, hi = np.zeros(len(cell_x), np.int64), np.zeros(len(cell_x), np.int64)
+    reach = width * (1 + 1e-4)
+    for c in np.intersect1d(cell_x, cell_y).tolist():
+        a, b = np.searchsorted(cell_y, [c, c + 1])
+        rows = slice(*np.searchsorted(cell_x, [c, c + 1]))
+        lo[rows] = a + np.searchsorted(at_y[a:b], at_x[rows] - reach)
+        hi[rows] = a + np.searchsorted(at_y[a:b], at_x[rows] + reach, "right")
+    if same:
+        lo = np.maximum(lo, np.arange(len(lo)) + 1)
+    size = np.maximum(hi - lo, 0)
+    upto = np.concatenate([[0], np.cumsum(size)])
+    start = 0
+    while start < len(size):  # rows together while their windows hold at most STRIP, or one row
+        end = max(start + 1, int(np.searchsorted(upto, upto[start] + STRIP, "right")) - 1)
+        n = size[start:end]
+        i = np.repeat(np.arange(start, end), n)
+        if len(i):
+            yield i, np.arange(len(i)) - np.repeat(upto[start:end] - upto[start], n) + np.repeat(lo[start:end], n)
+        start = end
+
+
+def counted(cells: np.ndarray, leads: np.ndarray, i: np.ndarray, j: np.ndarray, line: int, lines: Lines) -> np.ndarray:
+    """Which pairs meet on ``line``, on no line before it, and on the calibrated number of lines in all."""
+    tally, kept, width = np.zeros(len(i), np.int64), np.arange(len(i)), np.float32(lines.width)
+    for k in [line, *range(line), *range(line + 1, lines.number)]:
+        a, b = i[kept], j[kept]
+        meet = (cells[a, k] == cells[b, k]) & (np.abs(leads[a, k] - leads[b, k]) <= width)
+        tally[kept] += meet
+        if k <= line:  # the pair belongs to the first line on which it meets
+            kept = kept[meet if k == line else ~meet]
+    return kept[tally[kept] >= lines.least]
+
+
+def _placed(batches: Iterator[pa.RecordBatch], lines: Lines) -> Iterator[pa.RecordBatch]:
+    """Adds each vector's cells and projections."""
+    for batch in batches:
+        rows = [np.asarray(e, np.float64) for e in batch.column("e").to_numpy(zero_copy_only=False)]
+        cells, leads = np.zeros((len(rows), lines.number), np.int32), np.zeros((len(rows), lines.number), np.float32)
+        dims = np.array([len(e) for e in rows], np.int64)
+        for d in np.unique(dims):
+            at = np.flatnonzero(dims == d)
+            unit = np.stack([rows[r] for r in at])
+            cells[at], leads[at] = lines.place(unit / np.linalg.norm(unit, axis=1)[:, None])
+        yield batch.append_column("cells", pa.array(list(cells), pa.list_(pa.int32()))).append_column("leads", pa.array(list(leads), pa.list_(pa.float32())))
+
+
+def _pair(pdf: pd.DataFrame, cosine: float, lines: Lines) -> pd.DataFrame:
+    """Link counts (node, n) and links (node, other) of one pair of blocks of one line."""
+    pdf = pdf.sort_values(["side", "cell", "lead", "rep"])
     unit = np.stack(pdf["e"].to_numpy()).astype(np.float64)
     unit /= np.linalg.norm(unit, axis=1)[:, None]
-    place = (unit @ directions(unit.shape[1], seed).T).astype(np.float32)
-    left = (pdf["side"] == 0).to_numpy()
-    same = bool(left.all())
+    cells, leads, line = np.stack(pdf["cells"].to_numpy()), np.stack(pdf["leads"].to_numpy()), int(pdf["line"].iloc[0])
+    left = int((pdf["side"] == 0).sum())
+    same = left == len(pdf)
+    x, y = slice(0, left), slice(0, left) if same else slice(left, None)
     ids, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
-    a, b = np.flatnonzero(left), np.flatnonzero(left if same else ~left)
     total = np.zeros(len(ids), np.int64)
     u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for i, j in block_links(unit[a], unit[b], place[a], place[b], same, cosine, np.float32(width * (1 + 1e-6)), least):
-        i, j = a[i], b[j]
+    for i, j in window_pairs(cells[x, line], leads[x, line], cells[y, line], leads[y, line], lines.width, same):
+        j = j if same else j + left
+        some = counted(cells, leads, i, j, line, lines)
+        i, j = i[some], j[some]
+        ok = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine
+        i, j = i[ok], j[ok]
         np.add.at(total, i, copies[j])
         np.add.at(total, j, copies[i])
         u, v = np.concatenate([u, ids[i]]), np.concatenate([v, ids[j]])
@@ -109,6 +164,18 @@ def _pair(pdf: pd.DataFrame, cosine: float, seed: int) -> pd.DataFrame:
     return pd.concat([counts, links]) if len(some) or len(u) else counts
 
 
+def _block_pairs(ranked: DataFrame, width: float) -> DataFrame:
+    """Blocks of a line that hold rows of one cell within a window of one another."""
+    on = ["dims", "line"]
+    point = F.struct("cell", "lead")
+    bounds = ranked.groupBy(*on, "block").agg(F.min(point).alias("low"), F.max(point).alias("high"))
+    # Later blocks that begin in the cell in which a block ends. Those of one cell are neighbours.
+    first = bounds.select(*on, F.col("block").alias("j"), F.col("low.cell").alias("cell"), F.col("low.lead").alias("next"))
+    ends = bounds.select(*on, F.col("block").alias("i"), F.col("high.cell").alias("cell"), F.col("high.lead").alias("end"))
+    met = ends.join(first, [*on, "cell"]).where((F.col("j") > F.col("i")) & (F.col("next") - F.col("end") <= width))
+    return met.select(*on, "i", "j").union(bounds.select(*on, "block", "block"))
+
+
 def link_embeddings(vectors: DataFrame, cosine: float = COSINE, seed: int = SEED) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding)."""
     e = F.col("embedding")
@@ -116,20 +183,19 @@ def link_embeddings(vectors: DataFrame, cosine: float = COSINE, seed: int = SEED
     rows = vectors.select("vec_id", F.when(sound, e).alias("e"))
     classes = rows.where("e is not null").groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes.select("rep", "copies", "e", F.size("e").alias("dims")), "vectors")
-    placed = classes.mapInArrow(lambda b: _lead(b, seed), classes.withColumn("lead", F.lit(0.0)).schema)
-    ranked = offsets(ordered(placed, ["dims", "lead", "rep"], "line"), ["dims"], {"rank": F.lit(1).cast("long")})
+    lines = calibrated(classes.count(), cosine, seed=seed)
+    kind = classes.select("*", F.array().cast("array<int>").alias("cells"), F.array().cast("array<float>").alias("leads")).schema
+    placed = materialize(classes.mapInArrow(lambda b: _placed(b, lines), kind), "placed")
+    spread = placed.withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(lines.number - 1))))
+    spread = spread.withColumn("cell", F.get("cells", "line")).withColumn("lead", F.get("leads", "line"))
+    on = ["dims", "line"]
+    ranked = offsets(ordered(spread, [*on, "cell", "lead", "rep"], "lines"), on, {"rank": F.lit(1).cast("long")})
     ranked = materialize(ranked.withColumn("block", F.expr(f"rank div {BLOCK}")).drop("rank"), "blocks")
-    bounds = ranked.groupBy("dims", "block").agg(F.min("lead").alias("low"), F.max("lead").alias("high"))
-    last = bounds.groupBy("dims").agg(F.max("block").alias("last"))
-    ahead = bounds.join(last, "dims").select("dims", F.col("block").alias("i"), "high", F.explode(F.sequence("block", "last")).alias("j"))
-    width = calibrated(cosine)[0]
-    # A pair outside the window of the first projection may still have collisions enough on the others.
-    slack = 2.5 * width
-    pairs = ahead.join(bounds.select("dims", F.col("block").alias("j"), "low"), ["dims", "j"]).where(F.col("low") - F.col("high") <= slack).select("dims", "i", "j")
-    pairs = materialize(pairs, "pairs")
-    one = join_small(ranked.withColumnRenamed("block", "i"), pairs, ["dims", "i"]).select("dims", "i", "j", F.lit(0).alias("side"), "rep", "copies", "e")
-    two = join_small(ranked.withColumnRenamed("block", "j"), pairs.where("i < j"), ["dims", "j"]).select("dims", "i", "j", F.lit(1).alias("side"), "rep", "copies", "e")
-    found = one.union(two).groupBy("dims", "i", "j").applyInPandas(lambda pdf: _pair(pdf, cosine, seed), "node long, other long, n long")
+    pairs = materialize(_block_pairs(ranked, lines.width), "pairs")
+    names = [*on, "i", "j", "side", "rep", "copies", "e", "cell", "lead", "cells", "leads"]
+    one = join_small(ranked.withColumnRenamed("block", "i"), pairs, [*on, "i"]).withColumn("side", F.lit(0)).select(*names)
+    two = join_small(ranked.withColumnRenamed("block", "j"), pairs.where("i < j"), [*on, "j"]).withColumn("side", F.lit(1)).select(*names)
+    found = one.union(two).groupBy(*on, "i", "j").applyInPandas(lambda pdf: _pair(pdf, cosine, lines), "node long, other long, n long")
     found = materialize(found, "found")
     counts = found.where("other is null").groupBy("node").agg(F.sum("n").alias("n")).select(F.col("node").alias("rep"), "n")
     roots = connected_components(found.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("rep"), "root")

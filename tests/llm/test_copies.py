@@ -153,3 +153,31 @@ def test_embeddings(spark, monkeypatch, block):
     for i, _ in odd:
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert embedding_dups.link_embeddings(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("rows", [1, 40, 5000, 10**6])
+def test_lines_are_calibrated(rows):
+    """Of pairs at the threshold, the share that meets on enough lines reaches the recall, whatever the size."""
+    r, lines = np.random.default_rng(rows), embedding_dups.calibrated(rows)
+    x, o = r.standard_normal((2, 4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    o -= (o * x).sum(1)[:, None] * x
+    o /= np.linalg.norm(o, axis=1)[:, None]
+    (cx, ax), (cy, ay) = lines.place(x), lines.place(0.95 * x + np.sqrt(1 - 0.95**2) * o)
+    met = ((cx == cy) & (np.abs(ax - ay) <= lines.width)).sum(1) >= lines.least
+    assert met.mean() > 0.995
+
+
+def test_recall_of_planted_pairs(spark):
+    r, n, m = np.random.default_rng(6), 2000, 600
+    x = r.standard_normal((n, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    o = r.standard_normal((m, 32))
+    o -= (o * x[:m]).sum(1)[:, None] * x[:m]
+    o /= np.linalg.norm(o, axis=1)[:, None]
+    c = r.uniform(0.9502, 0.953, m)[:, None]
+    rows = np.concatenate([x, c * x[:m] + np.sqrt(1 - c * c) * o]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(t) for t in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    got = {g.vec_id: g for g in embedding_dups.link_embeddings(df).collect()}
+    assert sum(got[n + i].component_id == i for i in range(m)) >= 0.98 * m
+    assert all(got[i].n_links == 0 for i in range(m, n))
