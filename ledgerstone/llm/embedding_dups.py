@@ -49,6 +49,8 @@ WIDTH = 1.9
 CELL = 32
 BLOCK = 2048
 SEED = 11
+#: Steps of a unit vector's components and of a direction's.
+UNIT, GRAIN = 1 << 15, 1 << 10
 #: Candidate pairs that are counted at a time.
 STRIP = 1 << 16
 
@@ -64,11 +66,20 @@ class Lines:
     seed: int
 
     def place(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The cell and the projection of each vector on each line, by one direction that sorts it and one for each sign."""
-        across = np.random.default_rng(self.seed).standard_normal((unit.shape[1], self.number * (1 + self.bits)))
-        all_ = (unit @ across).reshape(len(unit), self.number, 1 + self.bits)
+        """The cell and the projection of each vector on each line, by one direction that sorts it and one for each sign.
+
+        Vectors and directions are rounded to whole numbers, whose products
+        and sums are exact in doubles, so every task places a vector alike.
+        """
+        across = np.rint(np.random.default_rng(self.seed).standard_normal((unit.shape[1], self.number * (1 + self.bits))) * GRAIN)
+        all_ = (np.rint(unit * UNIT) @ across).reshape(len(unit), self.number, 1 + self.bits)
         cell = (all_[:, :, 1:] > 0) @ (1 << np.arange(self.bits, dtype=np.int64))
-        return cell.astype(np.int32), all_[:, :, 0].astype(np.float32)
+        return cell.astype(np.int32), (all_[:, :, 0] / GRAIN).astype(np.int32)
+
+    @property
+    def reach(self) -> int:
+        """The half-width of a window in the projections' units."""
+        return int(self.width * UNIT)
 
 
 def calibrated(rows: int, cosine: float = COSINE, recall: float = RECALL, seed: int = SEED) -> Lines:
@@ -86,10 +97,9 @@ def calibrated(rows: int, cosine: float = COSINE, recall: float = RECALL, seed:
     return Lines(number, bits, WIDTH * sqrt(max(0.0, 2 * (1 - cosine))), LEAST, seed)
 
 
-def window_pairs(cell_x: np.ndarray, at_x: np.ndarray, cell_y: np.ndarray, at_y: np.ndarray, width: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places whose rows share a cell and a window (or nearly); both sides in order of cell and projection."""
+def window_pairs(cell_x: np.ndarray, at_x: np.ndarray, cell_y: np.ndarray, at_y: np.ndarray, reach: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places whose rows share a cell and a window; both sides in order of cell and projection."""
     lo, hi = np.zeros(len(cell_x), np.int64), np.zeros(len(cell_x), np.int64)
-    reach = width * (1 + 1e-4)
     for c in np.intersect1d(cell_x, cell_y).tolist():
         a, b = np.searchsorted(cell_y, [c, c + 1])
         rows = slice(*np.searchsorted(cell_x, [c, c + 1]))
@@ -111,42 +121,48 @@ def window_pairs(cell_x: np.ndarray, at_x: np.ndarray, cell_y: np.ndarray, at_y:
 
 def counted(cells: np.ndarray, leads: np.ndarray, i: np.ndarray, j: np.ndarray, line: int, lines: Lines) -> np.ndarray:
     """Which pairs meet on ``line``, on no line before it, and on the calibrated number of lines in all."""
-    tally, kept, width = np.zeros(len(i), np.int64), np.arange(len(i)), np.float32(lines.width)
+    tally, kept = np.zeros(len(i), np.int64), np.arange(len(i))
     for k in [line, *range(line), *range(line + 1, lines.number)]:
         a, b = i[kept], j[kept]
-        meet = (cells[a, k] == cells[b, k]) & (np.abs(leads[a, k] - leads[b, k]) <= width)
+        meet = (cells[a, k] == cells[b, k]) & (np.abs(leads[a, k] - leads[b, k]) <= lines.reach)
         tally[kept] += meet
         if k <= line:  # the pair belongs to the first line on which it meets
             kept = kept[meet if k == line else ~meet]
     return kept[tally[kept] >= lines.least]
 
 
+def _units(vectors: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors of the rows of each dimension."""
+    dims = np.array([len(e) for e in vectors], np.int64)
+    for d in np.unique(dims):
+        at = np.flatnonzero(dims == d)
+        rows = np.stack([np.asarray(vectors[r], np.float64) for r in at])
+        yield at, rows / np.linalg.norm(rows, axis=1)[:, None]
+
+
 def _placed(batches: Iterator[pa.RecordBatch], lines: Lines) -> Iterator[pa.RecordBatch]:
-    """Adds each vector's cells and projections."""
+    """rep and dims with each vector's cells and projections."""
     for batch in batches:
-        rows = [np.asarray(e, np.float64) for e in batch.column("e").to_numpy(zero_copy_only=False)]
-        cells, leads = np.zeros((len(rows), lines.number), np.int32), np.zeros((len(rows), lines.number), np.float32)
-        dims = np.array([len(e) for e in rows], np.int64)
-        for d in np.unique(dims):
-            at = np.flatnonzero(dims == d)
-            unit = np.stack([rows[r] for r in at])
-            cells[at], leads[at] = lines.place(unit / np.linalg.norm(unit, axis=1)[:, None])
-        yield batch.append_column("cells", pa.array(list(cells), pa.list_(pa.int32()))).append_column("leads", pa.array(list(leads), pa.list_(pa.float32())))
+        cells, leads = np.zeros((batch.num_rows, lines.number), np.int32), np.zeros((batch.num_rows, lines.number), np.int32)
+        for at, unit in _units(batch.column("e").to_numpy(zero_copy_only=False)):
+            cells[at], leads[at] = lines.place(unit)
+        lists = [pa.array(list(x), pa.list_(pa.int32())) for x in (cells, leads)]
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("dims"), *lists], ["rep", "dims", "cells", "leads"])
 
 
 def _pair(pdf: pd.DataFrame, cosine: float, lines: Lines) -> pd.DataFrame:
     """Link counts (node, n) and links (node, other) of one pair of blocks of one line."""
     pdf = pdf.sort_values(["side", "cell", "lead", "rep"])
-    unit = np.stack(pdf["e"].to_numpy()).astype(np.float64)
-    unit /= np.linalg.norm(unit, axis=1)[:, None]
-    cells, leads, line = np.stack(pdf["cells"].to_numpy()), np.stack(pdf["leads"].to_numpy()), int(pdf["line"].iloc[0])
+    ((_, unit),) = _units(pdf["e"].to_numpy())
+    line = int(pdf["line"].iloc[0])
+    cells, leads = lines.place(unit)
     left = int((pdf["side"] == 0).sum())
     same = left == len(pdf)
     x, y = slice(0, left), slice(0, left) if same else slice(left, None)
     ids, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
     total = np.zeros(len(ids), np.int64)
     u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for i, j in window_pairs(cells[x, line], leads[x, line], cells[y, line], leads[y, line], lines.width, same):
+    for i, j in window_pairs(cells[x, line], leads[x, line], cells[y, line], leads[y, line], lines.reach, same):
         j = j if same else j + left
         some = counted(cells, leads, i, j, line, lines)
         i, j = i[some], j[some]
@@ -164,15 +180,21 @@ def _pair(pdf: pd.DataFrame, cosine: float, lines: Lines) -> pd.DataFrame:
     return pd.concat([counts, links]) if len(some) or len(u) else counts
 
 
-def _block_pairs(ranked: DataFrame, width: float) -> DataFrame:
+def _blocks(ranked: DataFrame, on: list[str]) -> DataFrame:
+    """Rows with their block: small cells whole, those of more than ``BLOCK`` rows cut by rank."""
+    cells = ranked.groupBy(*on, "cell").agg(F.min("rank").alias("start"), F.count("*").alias("size"))
+    place = F.when(F.col("size") > BLOCK, F.col("rank")).otherwise(F.col("start"))
+    return ranked.join(cells, [*on, "cell"]).select(*on, "cell", "lead", "rep", F.floor(place / BLOCK).alias("block"))
+
+
+def _block_pairs(blocks: DataFrame, on: list[str], reach: int) -> DataFrame:
     """Blocks of a line that hold rows of one cell within a window of one another."""
-    on = ["dims", "line"]
     point = F.struct("cell", "lead")
-    bounds = ranked.groupBy(*on, "block").agg(F.min(point).alias("low"), F.max(point).alias("high"))
-    # Later blocks that begin in the cell in which a block ends. Those of one cell are neighbours.
+    bounds = blocks.groupBy(*on, "block").agg(F.min(point).alias("low"), F.max(point).alias("high"))
+    # A cell in several blocks ends all of them but the last and begins all but the first.
     first = bounds.select(*on, F.col("block").alias("j"), F.col("low.cell").alias("cell"), F.col("low.lead").alias("next"))
     ends = bounds.select(*on, F.col("block").alias("i"), F.col("high.cell").alias("cell"), F.col("high.lead").alias("end"))
-    met = ends.join(first, [*on, "cell"]).where((F.col("j") > F.col("i")) & (F.col("next") - F.col("end") <= width))
+    met = ends.join(first, [*on, "cell"]).where((F.col("j") > F.col("i")) & (F.col("next") - F.col("end") <= reach))
     return met.select(*on, "i", "j").union(bounds.select(*on, "block", "block"))
 
 
@@ -183,19 +205,17 @@ def link_embeddings(vectors: DataFrame, cosine: float = COSINE, seed: int = SEED
     rows = vectors.select("vec_id", F.when(sound, e).alias("e"))
     classes = rows.where("e is not null").groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes.select("rep", "copies", "e", F.size("e").alias("dims")), "vectors")
-    lines = calibrated(classes.count(), cosine, seed=seed)
-    kind = classes.select("*", F.array().cast("array<int>").alias("cells"), F.array().cast("array<float>").alias("leads")).schema
-    placed = materialize(classes.mapInArrow(lambda b: _placed(b, lines), kind), "placed")
-    spread = placed.withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(lines.number - 1))))
-    spread = spread.withColumn("cell", F.get("cells", "line")).withColumn("lead", F.get("leads", "line"))
-    on = ["dims", "line"]
-    ranked = offsets(ordered(spread, [*on, "cell", "lead", "rep"], "lines"), on, {"rank": F.lit(1).cast("long")})
-    ranked = materialize(ranked.withColumn("block", F.expr(f"rank div {BLOCK}")).drop("rank"), "blocks")
-    pairs = materialize(_block_pairs(ranked, lines.width), "pairs")
-    names = [*on, "i", "j", "side", "rep", "copies", "e", "cell", "lead", "cells", "leads"]
-    one = join_small(ranked.withColumnRenamed("block", "i"), pairs, [*on, "i"]).withColumn("side", F.lit(0)).select(*names)
-    two = join_small(ranked.withColumnRenamed("block", "j"), pairs.where("i < j"), [*on, "j"]).withColumn("side", F.lit(1)).select(*names)
-    found = one.union(two).groupBy(*on, "i", "j").applyInPandas(lambda pdf: _pair(pdf, cosine, lines), "node long, other long, n long")
+    lines, on = calibrated(classes.count(), cosine, seed=seed), ["dims", "line"]
+    # Only places are sorted and ranked; vectors join them when the blocks are known.
+    placed = classes.mapInArrow(lambda b: _placed(b, lines), "rep long, dims int, cells array<int>, leads array<int>")
+    places = placed.select("rep", "dims", F.posexplode(F.arrays_zip("cells", "leads")).alias("line", "at")).select(*on, F.col("at.cells").alias("cell"), F.col("at.leads").alias("lead"), "rep")
+    ranked = offsets(ordered(materialize(places, "places"), [*on, "cell", "lead", "rep"], "lines"), on, {"rank": F.lit(1).cast("long")})
+    blocks = materialize(_blocks(ranked, on), "blocks")
+    pairs = materialize(_block_pairs(blocks, on, lines.reach), "pairs")
+    sides = [(blocks.withColumnRenamed("block", "i"), pairs, "i", 0), (blocks.withColumnRenamed("block", "j"), pairs.where("i < j"), "j", 1)]
+    members = [join_small(b, p, [*on, at]).select(*on, "i", "j", F.lit(side).alias("side"), "cell", "lead", "rep") for b, p, at, side in sides]
+    members = members[0].union(members[1]).join(classes.select("rep", "copies", "e"), "rep")
+    found = members.groupBy(*on, "i", "j").applyInPandas(lambda pdf: _pair(pdf, cosine, lines), "node long, other long, n long")
     found = materialize(found, "found")
     counts = found.where("other is null").groupBy("node").agg(F.sum("n").alias("n")).select(F.col("node").alias("rep"), "n")
     roots = connected_components(found.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("rep"), "root")

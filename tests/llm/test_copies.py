@@ -164,7 +164,7 @@ def test_lines_are_calibrated(rows):
     o -= (o * x).sum(1)[:, None] * x
     o /= np.linalg.norm(o, axis=1)[:, None]
     (cx, ax), (cy, ay) = lines.place(x), lines.place(0.95 * x + np.sqrt(1 - 0.95**2) * o)
-    met = ((cx == cy) & (np.abs(ax - ay) <= lines.width)).sum(1) >= lines.least
+    met = ((cx == cy) & (np.abs(ax - ay) <= lines.reach)).sum(1) >= lines.least
     assert met.mean() > 0.995
 
 
