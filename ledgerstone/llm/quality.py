@@ -6,13 +6,14 @@ frequencies, at most ``2 * BUCKETS`` numbers a row, go to the driver; texts
 don't. Scoring runs in Arrow batches over whole texts.
 
 Null and empty texts have no words and fail the base rule; repeated rows are
-scored each; ties at a threshold count as reached; without labels of both
+scored each; a doc_id labelled 0 and 1 counts in both classes; ties at a threshold count as reached; without labels of both
 classes nothing is rejected but by the base rule; an empty table gives an
 empty result; further columns pass through unless named as an output.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +25,15 @@ from pyspark.sql import functions as F
 from ledgerstone.llm import arrow_text as at
 from ledgerstone.llm.linear import Rows, fit, platt, sigmoid
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 16
 SAMPLE = 1500
+#: Lengths of the n-grams, in words and in code points.
+WORD_GRAMS = (1, 2, 3)
 CHAR_GRAMS = (3, 5)
+#: Sampled rows that a bucket must occur in to have a weight, folds of the calibration, steps of a fit.
+LEAST_ROWS = 10
+FOLDS = 2
+STEPS = 80
 #: A document is rejected if its probability of high quality is below this.
 LEAST_GOOD = 0.25
 MIN_WORDS = 50
@@ -43,41 +50,71 @@ class Model:
     offset: float
 
 
-def gram_buckets(buf: np.ndarray, offsets: np.ndarray):
-    """(bucket of each word, bounds), (bucket of each character n-gram, bounds), by row."""
+def code_points(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each code point as one number, and the offsets of the rows in code points."""
+    lead = (buf & 0xC0) != 0x80
+    at_ = np.flatnonzero(lead)
+    points, follows = buf[at_].astype(np.uint32), np.ones(len(at_), bool)
+    for j in range(1, 4):
+        place = np.minimum(at_ + j, max(len(buf) - 1, 0))
+        follows &= (at_ + j < len(buf)) & ~lead[place]
+        points = np.where(follows, points << np.uint32(8) | buf[place], points)
+    return points, np.searchsorted(at_, offsets)
+
+
+def gram_buckets(buf: np.ndarray, offsets: np.ndarray) -> tuple[list, list]:
+    """(bucket, row) of all word n-grams, then of all character n-grams."""
     starts, ends, first = at.word_bounds(buf, offsets)
-    words = (at.word_hashes(buf, starts, ends) % np.uint64(BUCKETS)).astype(np.int64)
-    parts, owners = [], []
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    rows = np.arange(len(offsets) - 1)
+    row, hashes = np.repeat(rows, np.diff(first)), at.word_hashes(buf, starts, ends)
+    words, chars = [], []
+    for n in WORD_GRAMS:
+        h = at.gram_hashes(hashes, n)
+        inside = row[: len(h)] == row[n - 1 :]
+        words.append(((h[inside] % np.uint64(BUCKETS)).astype(np.int64), row[: len(h)][inside]))
+    points, bounds = code_points(buf, offsets)
+    row = np.repeat(rows, np.diff(bounds))
     for n in CHAR_GRAMS:
-        if len(buf) >= n:
-            h = np.zeros(len(buf) - n + 1, np.uint32)
-            for j in range(n):
-                h = h * np.uint32(0x01000193) ^ buf[j : j + len(h)]
-            h ^= h >> np.uint32(15)
-            h *= np.uint32(0x85EBCA6B)
-            h ^= h >> np.uint32(13)
-            inside = row[: len(h)] == row[n - 1 :]
-            parts.append(h[inside] % np.uint32(BUCKETS))
-            owners.append(row[: len(h)][inside])
-    return words, first, parts, owners
+        h = np.zeros(max(0, len(points) - n + 1), np.uint32)
+        for j in range(n):
+            h = h * np.uint32(0x01000193) ^ points[j : j + len(h)]
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(13)
+        inside = row[: len(h)] == row[n - 1 :]
+        chars.append((h[inside] % np.uint32(BUCKETS), row[: len(h)][inside]))
+    return words, chars
 
 
 def scores(buf: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
     """The probability of high quality of each row."""
-    words, first, parts, owners = gram_buckets(buf, offsets)
     n = len(offsets) - 1
-    z = np.full(n, model.bias) + at.row_sums(model.weights[words], first) / np.maximum(np.diff(first), 1)
-    chars = model.weights[BUCKETS:]
-    total, count = np.zeros(n), np.zeros(n)
-    for h, o in zip(parts, owners, strict=True):
-        total += np.bincount(o, chars[h], n)
-        count += np.bincount(o, minlength=n)
-    return sigmoid(model.slope * (z + total / np.maximum(count, 1)) + model.offset)
+    z = np.full(n, model.bias)
+    for grams, weights in zip(gram_buckets(buf, offsets), (model.weights[:BUCKETS], model.weights[BUCKETS:]), strict=True):
+        total, count = np.zeros(n), np.zeros(n)
+        for bucket, row in grams:
+            total += np.bincount(row, weights[bucket], n)
+            count += np.bincount(row, minlength=n)
+        z += total / np.maximum(count, 1)
+    return sigmoid(model.slope * z + model.offset)
+
+
+def repeat_words(words: list[bytes], width: int = 3) -> int:
+    """Words in windows that occur twice or more among those of one text."""
+    ids: dict[bytes, int] = {}
+    row = [ids.setdefault(w, len(ids)) for w in words]
+    windows = list(zip(*[row[j:] for j in range(width)], strict=False))
+    seen = Counter(windows)
+    total, done = 0, 0
+    for i, w in enumerate(windows):
+        if seen[w] > 1:
+            total += i + width - max(done, i)
+            done = i + width
+    return total
 
 
 def measures(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """The base measures of each row. Windows are compared by 64-bit hashes of their words."""
+    """The base measures of each row. Hashes of windows only say which rows may repeat one; their words are then compared."""
     n = len(offsets) - 1
     starts, ends, first = at.word_bounds(buf, offsets)
     out = {"n_words": np.diff(first)}
@@ -92,20 +129,14 @@ def measures(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     out["n_dup_lines"] = dup
     row = np.repeat(np.arange(n), np.diff(first))
     grams = at.gram_hashes(at.word_hashes(buf, starts, ends), 3)
-    repeat = np.zeros(len(starts) + 1, np.int64)
+    repeat = np.zeros(n, np.int64)
     if len(grams):
         inside = np.flatnonzero(row[: len(grams)] == row[2:])
         order = inside[np.lexsort((grams[inside], row[inside]))]
         same = (grams[order[1:]] == grams[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
-        again = np.zeros(len(order), bool)
-        again[1:] |= same
-        again[:-1] |= same
-        hit = order[again]
-        covered = np.zeros(len(starts), bool)
-        for j in range(3):
-            covered[hit + j] = True
-        np.cumsum(covered, out=repeat[1:])
-    out["n_repeat_words"] = repeat[first[1:]] - repeat[first[:-1]]
+        for r in np.unique(row[order[1:][same]]).tolist():
+            repeat[r] = repeat_words(raw[ends_[r] : ends_[r + 1]].split())
+    out["n_repeat_words"] = repeat
     return out
 
 
@@ -115,9 +146,9 @@ def _features(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Rec
         buf, offsets = at.column_bytes(batch.column(column))
         index, value = [], []
         for r in range(len(offsets) - 1):
-            words, _, parts, _ = gram_buckets(buf[offsets[r] : offsets[r + 1]], np.array([0, offsets[r + 1] - offsets[r]]))
             i, v = [], []
-            for bucket, shift in ((words, 0), (np.concatenate(parts) if parts else np.zeros(0, np.int64), BUCKETS)):
+            for grams, shift in zip(gram_buckets(buf[offsets[r] : offsets[r + 1]], np.array([0, offsets[r + 1] - offsets[r]])), (0, BUCKETS), strict=True):
+                bucket = np.concatenate([b for b, _ in grams])
                 found, n = np.unique(bucket, return_counts=True)
                 i.append(found.astype(np.int64) + shift)
                 v.append(n / max(1, n.sum()))
@@ -146,9 +177,15 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "text", label: str =
     # Rows arrive in any order: folds and sums follow their contents instead.
     order = np.lexsort((np.diff(data.bounds), data.dot(np.arange(2 * BUCKETS, dtype=float))))
     data, y = data.take(order), y[order]
-    held = np.arange(len(y)) % 5 == 0
-    w, b = fit(data.take(np.flatnonzero(~held)), y[~held], 2 * BUCKETS)
-    slope, offset = platt(data.take(np.flatnonzero(held)).dot(w) + b, y[held])
+    used = (np.bincount(data.index, minlength=2 * BUCKETS) >= LEAST_ROWS)[data.index]
+    data = Rows(data.index[used], data.value[used], np.concatenate([[0], np.cumsum(used)])[data.bounds])
+    # Every row is scored for the calibration by weights that were fitted without it.
+    fold, z = np.arange(len(y)) % FOLDS, np.zeros(len(y))
+    for k in range(FOLDS):
+        w, b = fit(data.take(np.flatnonzero(fold != k)), y[fold != k], 2 * BUCKETS, steps=STEPS)
+        z[fold == k] = data.take(np.flatnonzero(fold == k)).dot(w) + b
+    slope, offset = platt(z, y)
+    w, b = fit(data, y, 2 * BUCKETS, steps=STEPS)
     return Model(w * 100, float(b), max(slope, 1e-3), offset)
 
 
