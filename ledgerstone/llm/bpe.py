@@ -2,12 +2,16 @@
 
 Texts are cut where a rolling hash of the last ``WINDOW`` bytes has
 ``MASK_BITS`` zero bits, so equal passages of different documents give equal
-chunks. A chunk is encoded once while the worker's cache holds it. The piece
-around each chunk join, from the last white space before it to the first
-after it, is then encoded anew; it grows over further chunks until both of its
-sides are white space, where the tokenizer's split always ends a word, so that
-the joined ids are exactly those of the whole text. Words missing from the
-word cache are encoded by the ``tokenizers`` library in batches.
+chunks. A chunk's inside, from its first white space to its last, is encoded
+once while the worker's cache holds it. The piece around each chunk join, which
+grows over further chunks until both of its sides are white space, is then
+encoded anew together with the words on both sides of it, by the ``tokenizers``
+library on the text as it stands; it is widened by a word on each side until
+its ids begin and end with the ids that the chunks gave those words, so that
+the joined ids are exactly those of the whole text.
+
+A tokenizer is refused unless ASCII white space always ends a word of it, which
+is checked on its file (``modelled``).
 
 Null texts count as empty (no ids; decoded text empty). Very long texts are
 cut like others. Repeated rows and ties are encoded each; empty tables give
@@ -18,9 +22,12 @@ replaced. Caches are emptied when full, which changes no result.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +44,27 @@ WORDS_KEPT = 200_000
 _workers: dict[str, Encoder] = {}
 
 
+#: The parts of the one kind of tokenizer that the chunks and the word cache hold for.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def modelled(config: dict) -> str:
+    """What of a tokenizer's file differs from the modelled kind; empty if nothing does."""
+    step = config.get("pre_tokenizer") or {}
+    first, *rest = step.get("pretokenizers") or [{}]
+    model, added = config.get("model") or {}, config.get("added_tokens") or []
+    wrong = {
+        "normalizer": (config.get("normalizer") or {}).get("normalizers") != NORMALIZERS,
+        "split": (first.get("pattern"), first.get("behavior"), first.get("invert")) != ({"Regex": SPLIT}, "Removed", True),
+        "byte level": [(r.get("type"), r.get("add_prefix_space"), r.get("use_regex")) for r in rest] != [("ByteLevel", False, False)],
+        "model": model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")),
+        "decoder": config.get("decoder") is not None or config.get("post_processor") is not None,
+        "added tokens": any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or not t["content"].startswith("<|") or t["content"].split() != [t["content"]] for t in added),
+    }
+    return ", ".join(k for k, bad in wrong.items() if bad)
+
+
 class Encoder:
     """Encodes bytes to token ids, as little-endian uint32 bytes."""
 
@@ -44,6 +72,10 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            found = modelled(json.load(f))
+        if found:
+            raise ValueError(f"{path} is not a tokenizer that is modelled here: {found}")
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
@@ -95,7 +127,7 @@ class Encoder:
             self.chunks = {}
         if len(self.ids) > WORDS_KEPT:
             self.ids, self.old = {}, self.ids
-        plans, need, have = [], set(), self.ids
+        plans, need, have, joins = [], set(), self.ids, []
         for text, ends in zip(texts, cuts, strict=True):
             plan, start, carry = [], 0, b""
             for end in ends:
@@ -106,32 +138,75 @@ class Encoder:
                 head, middle, tail = known
                 carry += head
                 if middle is not None:  # else no white space: the join's piece goes on
-                    if carry:  # the join, repaired: re-encoded between its two white spaces
-                        plan.append(_Words([carry]))
+                    if carry:
+                        joins.append((plan, len(plan), carry))
+                        plan.append(None)
                     plan.append(middle)
                     carry = tail
                 start = end
             if carry:
-                plan.append(_Words([carry]))
+                joins.append((plan, len(plan), carry))
+                plan.append(None)
             for part in plan:
-                if part.ids is None:
-                    need.update([w for w in part.words if w not in have])
+                if part is not None and part.ids is None:
+                    need.update([w for w in part.words.split() if w not in have])
             plans.append(plan)
         self.learn(need)
         for plan in plans:
             for part in plan:
-                if part.ids is None:
-                    part.ids, part.words = b"".join([have[w] for w in part.words]), ()
-        return [b"".join([part.ids for part in plan]) for plan in plans]
+                if part is not None and part.ids is None:
+                    part.fix(have)
+        self.repair(joins)
+        return [b"".join([part if isinstance(part, bytes) else part.ids for part in plan]) for plan in plans]
+
+    def repair(self, joins: list[tuple[list, int, bytes]]) -> None:
+        """Put the ids of each join's piece into its plan: (plan, place, piece)."""
+        width = 1
+        while joins:
+            sides = [(_before(plan, at_, width), _after(plan, at_, width)) for plan, at_, _ in joins]
+            texts = [b" ".join([*a[0], piece, *b[0]]).decode() for (_, _, piece), (a, b) in zip(joins, sides, strict=True)]
+            open_ = []
+            for join, (a, b), e in zip(joins, sides, self.tok.encode_batch(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4").tobytes()
+                if ids.startswith(a[1]) and ids.endswith(b[1]) and len(ids) >= len(a[1]) + len(b[1]):
+                    join[0][join[1]] = ids[len(a[1]) : len(ids) - len(b[1])]
+                elif len(a[0]) < width and len(b[0]) < width:
+                    raise ValueError("chunks and their join don't agree")  # as wide as both chunks
+                else:
+                    open_.append(join)
+            joins, width = open_, 2 * width
+
+
+def _before(plan: list, at_: int, width: int) -> tuple[list[bytes], bytes]:
+    """The last words, at most ``width``, of the chunk before a join, and their ids."""
+    part = plan[at_ - 1] if at_ else None
+    return part.end(width, True) if isinstance(part, _Words) else ([], b"")
+
+
+def _after(plan: list, at_: int, width: int) -> tuple[list[bytes], bytes]:
+    part = plan[at_ + 1] if at_ + 1 < len(plan) else None
+    return part.end(width, False) if isinstance(part, _Words) else ([], b"")
 
 
 class _Words:
-    """Whole words: the inside of a chunk or the piece around a join."""
+    """The whole words inside a chunk: their ids, and the ends of each word's ids."""
 
-    __slots__ = ("ids", "words")
+    __slots__ = ("ids", "ends", "words")
 
     def __init__(self, words: list[bytes]):
-        self.words, self.ids = words, None
+        self.words, self.ids, self.ends = b" ".join(words), None, None
+
+    def fix(self, have: dict[bytes, bytes]) -> None:
+        parts = [have[w] for w in self.words.split()]
+        self.ids, self.ends = b"".join(parts), array("I", accumulate(map(len, parts)))
+
+    def end(self, width: int, last: bool) -> tuple[list[bytes], bytes]:
+        """The last or first words and their ids."""
+        words = self.words.rsplit(None, width)[-width:] if last else self.words.split(None, width)[:width]
+        n = len(words)
+        if last:
+            return words, self.ids[self.ends[-n - 1] if n < len(self.ends) else 0 :] if n else b""
+        return words, self.ids[: self.ends[n - 1]] if n else b""
 
 
 def _parts(chunk: bytes) -> tuple[bytes, _Words | None, bytes]:

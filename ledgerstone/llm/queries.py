@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerstone.llm import bpe, chat, embedding_dups, mixing, quality, secrets, sharding, simhash, substring, toxicity
 
-#: The folder of public tokenizer files; the same on all executors.
-TOKENIZERS = os.environ.get("LEDGERSTONE_TOKENIZERS", "/opt/tokenizers")
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+#: The tokenizer's file, at the same place on all executors.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -136,3 +136,33 @@ def test_encode_documents(spark, docs, none, tok):
         assert r.ids == want and r.n_tokens == len(want)
         assert r.decoded_sha256 == hashlib.sha256(tok.tok.decode(want, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.encode_documents(none, WORD_BPE).collect() == []
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="not a tokenizer"):
+        bpe.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_many_texts_against_the_library(tok):
+    """60,000 short texts of casing oddities, combining marks, closing marks, contractions, digits and special tokens."""
+    r = np.random.default_rng(11)
+    pieces = [*"abzQİıſKßΣςÀé́̈̇łñ漢字🙂12٣ \n\t\x85  '\"-_", *bpe.MARKS.decode(), "'s", "'RE", "don't", "<|endoftext|>", "<|startoftext|>", "<|", "word ", "ÖNEMİ.", "Ǆ", "ﬃ", "שׁ", "क़"]
+    texts = ["".join(r.choice(pieces, r.integers(1, 30))) for _ in range(60_000)]
+    for lo in range(0, len(texts), 4000):
+        part = texts[lo : lo + 4000]
+        want = [e.ids for e in tok.tok.encode_batch(part, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(tok, part)] == want
+
+
+def test_joins_of_short_chunks_agree(tok, monkeypatch):
+    """Chunks of about eight bytes: nearly every word is a join's."""
+    monkeypatch.setattr(bpe, "MASK_BITS", 3)
+    monkeypatch.setattr(bpe, "WINDOW", 4)
+    r = np.random.default_rng(12)
+    pieces = ["the ", "don't ", "İ", "é", "̇", " ", "\n", "x1", "Word. ", "<|endoftext|>", "漢 ", "a" * 20]
+    texts = ["".join(r.choice(pieces, r.integers(1, 200))) for _ in range(2000)]
+    want = [e.ids for e in tok.tok.encode_batch(texts, add_special_tokens=False)]
+    fresh = bpe.Encoder(WORD_BPE)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(fresh, texts)] == want
