@@ -38,8 +38,8 @@ from ledgerstone.llm.shared import join_small, materialize
 
 WINDOW = 13
 GRAM = 5
-SHARD_WORDS = 200_000
-#: Words of the runs that one automaton takes together.
+#: Words of a shard's distinct runs beyond which it is dealt further, and of the runs that one automaton takes together.
+SHARD_WORDS = 20_000
 AUTOMATON_WORDS = 40_000
 
 
@@ -310,8 +310,9 @@ def repeated_spans(docs: DataFrame, column: str = "text") -> DataFrame:
     pieces = _dealt(runs)
     distinct = pieces.groupBy("lo", "sub", "run").agg(F.min("doc_id").alias("first"))
     least = distinct.repartition("lo", "sub").sortWithinPartitions("lo", "sub").select("lo", "sub", "run", "first").mapInArrow(_match, "lo long, run string, least array<long>")
-    least = least.select("lo", F.md5("run").alias("ck"), "least")
-    found = pieces.select("lo", F.md5("run").alias("ck"), "doc_id", "th", "starts").join(least, ["lo", "ck"])
+    name = F.unhex(F.sha2("run", 256)).alias("name")  # a run's words, 32 bytes long
+    least = least.select("lo", name, "least")
+    found = pieces.select("lo", name, "doc_id", "th", "starts").join(least, ["lo", "name"])
     hits = found.select("doc_id", "th", F.struct("starts", F.transform("least", lambda m: m < F.col("doc_id")).alias("hit")).alias("span")).where(F.exists("span.hit", lambda x: x))
     return hits.groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
 
