@@ -213,14 +213,21 @@ def near_copies(docs: DataFrame, column: str = "text") -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, column: str = "text") -> DataFrame:
-    """docs with one row of each component: that of its least doc_id, null only if it has no other (of repeated rows, one)."""
+    """docs with one row of each component: that of its least doc_id, null only if it has no other (of rows equal in doc_id and fingerprint, any one)."""
     prints = materialize(with_fingerprint(docs.select("doc_id", column), column, "fp", drop_text=True), "fingerprints")
     kept = prints.join(near_components(prints), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Components may share their least doc_id or have none, so their root names them. Rows of one document
     # may have several texts: the component's row has the least fingerprint of them.
     kept = kept.groupBy("root").agg(F.min("doc_id").alias("_id"), F.min("fp").alias("_print")).drop("root")
+    kept = materialize(kept, "kept")
+    # An id that one row has names its row; only rows that share an id, or have none, need their fingerprint again.
+    many = materialize(prints.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"), "repeated")
+    single = kept.join(many, kept["_id"].eqNullSafe(many["doc_id"]), "left_anti").select("_id")
+    out = docs.join(single, docs["doc_id"] == single["_id"], "left_semi")
+    if not many.limit(1).count():
+        return out
     packed = docs.select("doc_id", F.col(column).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    marked = with_fingerprint(packed, drop_text=True)
+    shared = packed.join(many.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    marked = with_fingerprint(shared, drop_text=True)
     match = marked["_fp"].eqNullSafe(kept["_print"]) & marked["doc_id"].eqNullSafe(kept["_id"])
-    out = marked.join(kept, match, "left_semi")
-    return out.dropDuplicates(["doc_id", "_fp"]).select("_row.*")
+    return out.unionByName(marked.join(kept, match, "left_semi").dropDuplicates(["doc_id", "_fp"]).select("_row.*"))
