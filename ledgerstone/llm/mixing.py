@@ -23,10 +23,9 @@ from ledgerstone.llm.shared import join_small, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_REPEATS = 3
-#: Words of a block; fewer where the corpus would make fewer than ``LEAST_BLOCKS`` of them, or a source's target fewer than ``TARGET_BLOCKS``.
+#: Most words of a block, and least blocks of the smallest target among sources that aren't full (those give all they may).
 BLOCK_WORDS = 2048
-LEAST_BLOCKS = 1 << 20
-TARGET_BLOCKS = 64
+TARGET_BLOCKS = 1024
 #: Words for each shard of a source, and most shards of one.
 SHARD_WORDS = 1 << 17
 MOST_SHARDS = 4096
@@ -75,13 +74,14 @@ def targets(sizes: DataFrame) -> DataFrame:
     src = src.withColumn("_level", F.first(F.when(F.col("_cap") / F.col("_w") > F.col("_level"), F.col("_level")), True).over(whole))
     src = src.withColumn("target", F.least(F.col("_cap").cast("double"), F.coalesce(F.col("_w") * F.col("_level"), F.col("_cap").cast("double"))))
     # Blocks are only counted, never laid out, so a small source may make them small for all.
-    smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(all_)
-    block = F.least(F.lit(BLOCK_WORDS), (F.col("_total") / LEAST_BLOCKS).cast("long"), (smallest / TARGET_BLOCKS).cast("long"))
+    smallest = F.min(F.when((F.col("target") > 0) & (F.col("target") < F.col("_cap")), F.col("target"))).over(all_)
+    block = F.coalesce(F.least(F.lit(BLOCK_WORDS), (smallest / TARGET_BLOCKS).cast("long")), F.lit(1))
     src = src.withColumn("_block", F.greatest(F.lit(1), block).cast("long"))
     src = src.withColumn("_all", F.round(F.col("_total") / F.col("_block")).cast("long"))
     src = sainte_lague(src, [], ["_null", "_name"], "target", "_all", "_blocks")
     shards = F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / SHARD_WORDS))).cast("int")
-    return src.select("_null", "_name", "source_size", "target", "_block", "_blocks", shards.alias("_shards"))
+    full = F.col("target") >= F.col("_cap")
+    return src.select("_null", "_name", "source_size", "target", full.alias("_full"), "_block", "_blocks", shards.alias("_shards"))
 
 
 def allocate(sizes: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -97,7 +97,8 @@ def allocate(sizes: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     entries = entries.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("_shards")).cast("int")).drop("_shards")
     cells = join_small(entries.groupBy(*name, "_shard").agg(F.sum("_size").alias("_words")), sources, name)
     cells = sainte_lague(cells, name, ["_shard"], "_words", "_blocks", "_quota")
-    words = F.least(F.col("_quota") * F.col("_block"), F.col("_words") * MOST_REPEATS)
+    most = F.col("_words") * MOST_REPEATS
+    words = F.when(F.col("_full"), most).otherwise(F.least(F.col("_quota") * F.col("_block"), most))
     cells = cells.withColumn("_take", words).withColumn("passes", F.when(F.col("_words") > 0, F.floor(F.col("_take") / F.col("_words"))).otherwise(0).cast("long"))
     first = F.pmod(F.xxhash64(F.lit(seed + 1), *name, "_shard"), F.greatest(F.lit(1), F.ceil(F.col("_words") / F.col("_block")))) * F.col("_block")
     cells = cells.select(*name, "_shard", "_words", "passes", (F.col("_take") - F.col("passes") * F.col("_words")).alias("_rest"), first.cast("long").alias("_first"))

@@ -74,8 +74,7 @@ def test_full_sources_repeat_three_times(spark):
     assert sum(r.taken for r in got) == pytest.approx(400 * 50, rel=0.001)
 
 
-def test_small_sources_stay_in_the_mix_at_full_blocks(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "LEAST_BLOCKS", 1)  # blocks as of 2^31 words
+def test_small_sources_stay_in_the_mix(spark):
     rows = [(i, "w " * 500, "abc"[i % 3]) for i in range(300)] + [(1000 + i, "w " * n, f"small{n}") for i, n in enumerate((1, 7, 90, 340))]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     taken, target = defaultdict(int), {}
