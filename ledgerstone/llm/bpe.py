@@ -39,8 +39,8 @@ from ledgerstone.llm import arrow_text as at
 WINDOW = 16
 MASK_BITS = 9
 #: Entries after which a worker's chunks are dropped and its words become the old generation.
-CHUNKS_KEPT = 20_000
-WORDS_KEPT = 200_000
+CHUNKS_KEPT = 8_000
+WORDS_KEPT = 150_000
 _workers: dict[str, Encoder] = {}
 
 

@@ -37,6 +37,8 @@ STEPS = 80
 #: A document is rejected if its probability of high quality is below this.
 LEAST_GOOD = 0.25
 MIN_WORDS = 50
+#: Bytes that are measured and scored at a time.
+STRIP = 1 << 18
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -198,7 +200,7 @@ def assess(docs: DataFrame, model: Model, column: str = "text", least: float = L
         for batch in batches:
             buf, offsets = at.column_bytes(batch.column(column))
             parts = []
-            for lo, hi in at.slices(offsets):
+            for lo, hi in at.slices(offsets, STRIP):
                 a, b = offsets[lo], offsets[hi]
                 m = measures(buf[a:b], offsets[lo : hi + 1] - a)
                 m["p_good"] = scores(buf[a:b], offsets[lo : hi + 1] - a, model)
