@@ -14,20 +14,25 @@ from pyspark.sql.window import Window
 SIZE_TTL, MISSING_TTL, ERROR_TTL, LOAD_WAIT = 240 * 3600, 3 * 3600, 30, 60
 
 
-def _gap(partition: list[str]) -> Column:
-    return F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(Window.partitionBy(*partition).orderBy("ts")).cast("timestamp"))
+def _in_order(log: DataFrame) -> Window:
+    """Each key's accesses by time; of equal times, the smaller size comes first."""
+    return Window.partitionBy("key").orderBy("ts", *[c for c in ("size",) if c in log.columns])
+
+
+def _gap(log: DataFrame) -> Column:
+    return F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(_in_order(log)).cast("timestamp"))
 
 
 def ttl_hits(log: DataFrame, ttl_s: float) -> DataFrame:
     """log with ``hit``: the key was used less than the time to live before."""
-    return log.withColumn("hit", F.coalesce(_gap(["key"]) < int(ttl_s * 1_000_000), F.lit(False)))
+    return log.withColumn("hit", F.coalesce(_gap(log) < int(ttl_s * 1_000_000), F.lit(False)))
 
 
 def lru_replay(log: DataFrame, most: int) -> DataFrame:
     """log with hit, stored and evicted (entries) of one cache of ``most`` bytes.
 
-    One cache is one sequence: the log is sorted over all partitions and
-    replayed in order by a single task, whose memory is the cache's keys. To
+    One cache is one sequence: the log is
+    brought to a single task, sorted and replayed in order, whose memory is the cache's keys. To
     replay many caches at once, call it for each.
     """
 
@@ -52,16 +57,16 @@ def lru_replay(log: DataFrame, most: int) -> DataFrame:
                 out.append((False, True, evicted))
             yield pdf.assign(hit=[o[0] for o in out], stored=[o[1] for o in out], evicted=pd.Series([o[2] for o in out], dtype="int32"))
 
-    rows = log.select("key", "ts", F.col("size").cast("long").alias("size")).repartitionByRange("ts").sortWithinPartitions("ts", "key").coalesce(1).sortWithinPartitions("ts", "key")
+    rows = log.select("key", "ts", F.col("size").cast("long").alias("size")).repartition(1).sortWithinPartitions("ts", "key", "size")
     kinds = dict(log.dtypes)
     return rows.mapInPandas(run, f"key {kinds['key']}, ts {kinds['ts']}, size long, hit boolean, stored boolean, evicted int")
 
 
 def size_heads(log: DataFrame) -> DataFrame:
     """Lookups (key, ts, size; -1: missing) with ``hit`` under the lives of known and missing sizes."""
-    before = F.lag("size").over(Window.partitionBy("key").orderBy("ts"))
+    before = F.lag("size").over(_in_order(log))
     life = F.when(before < 0, MISSING_TTL * 1_000_000).otherwise(SIZE_TTL * 1_000_000)
-    return log.withColumn("hit", F.coalesce(_gap(["key"]) < life, F.lit(False)))
+    return log.withColumn("hit", F.coalesce(_gap(log) < life, F.lit(False)))
 
 
 def error_ledger(errors: DataFrame, lookups: DataFrame) -> DataFrame:
@@ -77,7 +82,7 @@ def error_ledger(errors: DataFrame, lookups: DataFrame) -> DataFrame:
 
 def single_flight(loads: DataFrame, wait_s: int = LOAD_WAIT) -> DataFrame:
     """loads (key, ts) with ``leads``: no load of the key within the wait before it shares its result."""
-    return loads.withColumn("leads", F.coalesce(_gap(["key"]) > wait_s * 1_000_000, F.lit(True)))
+    return loads.withColumn("leads", F.coalesce(_gap(loads) > wait_s * 1_000_000, F.lit(True)))
 
 
 def rate_credit(uses: DataFrame, per_minute: int, burst: int) -> DataFrame:

@@ -87,7 +87,7 @@ def pack_bundles(blobs: DataFrame, first: int = 1, cutoff: int = BUNDLE_BYTES) -
             yield pdf.assign(bundle=pd.Series(out, dtype="int32"))
 
     rows = blobs.select("item", "blobid", "size").repartition("item").sortWithinPartitions("item", "blobid")
-    return rows.mapInPandas(fold, "item string, blobid int, size long, bundle int")
+    return rows.mapInPandas(fold, f"item string, blobid {dict(blobs.dtypes)['blobid']}, size long, bundle int")
 
 
 def duplicate_groups(rows: DataFrame, key: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from ledgerstone.sources import stores
 
 _TOP = "(SELECT item, max(versionid) AS versionid FROM ver GROUP BY item)"
 add("max_version", lambda v: ct.max_version(v.ver), "ver", "SELECT item, max(versionid) AS max_version FROM ver GROUP BY item")
-add("max_blob", lambda v: ct.max_blob(v.ver, v.slo.where("blobid % 5 = 0")), "slo", "SELECT v.item, coalesce(max(s.blobid), 0) AS max_blob FROM (SELECT DISTINCT item FROM ver) v LEFT JOIN (SELECT * FROM slo WHERE blobid % 5 = 0) s ON v.item = s.item GROUP BY v.item")
+add("max_blob", lambda v: ct.max_blob(v.ver, v.slo), "slo", "SELECT v.item, coalesce(max(s.blobid), 0) AS max_blob FROM (SELECT DISTINCT item FROM ver) v LEFT JOIN slo s ON v.item = s.item GROUP BY v.item")
 add("bundle_max_per_item", lambda v: ct.max_bundle(v.keys), "keys", "SELECT regexp_extract(key, '^(.*)-([0-9]+)[.]zip$', 1) AS item, max(CAST(regexp_extract(key, '^(.*)-([0-9]+)[.]zip$', 2) AS INT)) AS max_bundle FROM keys GROUP BY 1")
 add("distinct_items", lambda v: ct.distinct_items(v.keys), "keys", "SELECT DISTINCT regexp_extract(key, '^(.*)-([0-9]+)[.]zip$', 1) AS item FROM keys")
 add("slug_prefix_filter", lambda v: ct.bundles_of(v.keys, "c1"), "keys", "SELECT key FROM keys WHERE regexp_matches(key, '^c1-[0-9]+[.]zip$')")

@@ -4,8 +4,10 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
+from ledgerstone.functions import keys
 from ledgerstone.operators import caching as ca
 from ledgerstone.operators import transactions as tx
+from ledgerstone.operators import versions
 from ledgerstone.plans.registry import add
 from ledgerstone.sources import bundles, fragments, stores, text
 
@@ -27,13 +29,25 @@ add("tx_creatable", lambda v: tx.creatable(v.table("customer").selectExpr("conca
 add("tx_cancel", lambda v: tx.cancel(v.tx, list(range(100))), "tx", "SELECT * FROM tx WHERE NOT (tx < 100 AND status IN (5, 6))")
 _MAP = lambda v: v.cmd.where("words[0] = 'add'").select("tx", F.col("words")[1].alias("file"), F.col("position").alias("blobid")).groupBy("tx", "file").agg(F.max("blobid").alias("blobid"))
 add("tx_resolve_ids", lambda v: tx.resolve_ids(v.cmd.where("words[0] = 'slot'").select("tx", F.col("words")[1].alias("name"), F.col("words")[2].alias("target")), _MAP(v)), "cmd", "SELECT c.tx, c.words[2] AS name, c.words[3] AS target, coalesce(m.b, TRY_CAST(c.words[3] AS INT)) AS blobid, coalesce(m.b, TRY_CAST(c.words[3] AS INT)) IS NULL AS failed FROM cmd c LEFT JOIN (SELECT tx, words[2] AS f, max(position) AS b FROM cmd WHERE words[1] = 'add' GROUP BY tx, words[2]) m ON c.tx = m.tx AND c.words[3] = m.f WHERE c.words[1] = 'slot'")
-add("tx_replay", lambda v: tx.replay(v.cmd, v.cmd.where("words[0] = 'add' and words[1] not like '%9'").select("tx", F.col("words")[1].alias("file")).distinct()))
+add("tx_replay", lambda v: tx.replay(v.cmd, v.cmd.where("words[0] = 'add' and words[1] not like '%9'").select("tx", F.col("words")[1].alias("file")).distinct()), "cmd", """
+    , t AS (SELECT *, CASE WHEN words[1] = 'add' AND words[2] LIKE '%9' THEN 'missing ' || words[2]
+                           WHEN words[1] = 'slot' AND NOT regexp_matches(words[3], '^[+-]*[0-9]+$') AND NOT EXISTS (SELECT 1 FROM cmd a WHERE a.tx = cmd.tx AND a.position < cmd.position AND a.words[1] = 'add' AND a.words[2] = cmd.words[3]) THEN 'unknown ' || words[3] END AS wrong FROM cmd),
+    s AS (SELECT tx, min(position) FILTER (wrong IS NOT NULL) AS stop, arg_min(wrong, position) FILTER (wrong IS NOT NULL) AS error FROM t GROUP BY tx)
+    SELECT s.tx, CAST(count(*) FILTER (t.done) AS INT) AS applied, CAST(any_value(CASE WHEN stop IS NULL THEN 5 ELSE 6 END) AS INT) AS status, any_value(coalesce(error, '')) AS error, CAST(0 AS INT) AS n_deleted,
+           CAST(count(DISTINCT t.words[2]) FILTER (t.done AND t.words[1] = 'slot') AS INT) AS n_slots, coalesce(arg_max(t.words[2], t.position) FILTER (t.done AND t.words[1] = 'note'), '') AS note
+    FROM s JOIN (SELECT t.*, stop IS NULL OR position < stop AS done FROM t JOIN s USING (tx)) t ON t.tx = s.tx GROUP BY s.tx""")
 _EVENTS = lambda v: v.table("orders").select(F.col("o_custkey").alias("tx"), F.col("o_orderkey").alias("position"), F.get(F.array(*[F.lit(e) for e in ("commit", "start", "check_ok", "ingest_ok", "check_failed")]), (F.col("o_orderkey") % 5).cast("int")).alias("event"))
-add("tx_status_replay", lambda v: tx.replay_status(_EVENTS(v)))
-add("ttl_cache_hits", lambda v: ca.ttl_hits(v.acc, 3 * 3600), "acc", "SELECT key, ts, size, coalesce(ts - lag(ts) OVER (PARTITION BY key ORDER BY ts) < INTERVAL 3 HOUR, false) AS hit FROM acc")
-add("size_cache_hits", lambda v: ca.size_heads(v.acc.withColumn("size", F.when(F.col("size") % 3 == 0, -1).otherwise(F.col("size")))), "acc", "SELECT key, ts, size, coalesce(ts - lag(ts) OVER w < CASE WHEN lag(size) OVER w < 0 THEN INTERVAL 3 HOUR ELSE INTERVAL 240 HOUR END, false) AS hit FROM (SELECT key, ts, CASE WHEN size % 3 = 0 THEN -1 ELSE size END AS size FROM acc) WINDOW w AS (PARTITION BY key ORDER BY ts)")
-add("single_flight", lambda v: ca.single_flight(v.acc, 3600), "acc", "SELECT key, ts, size, coalesce(ts - lag(ts) OVER (PARTITION BY key ORDER BY ts) > INTERVAL 1 HOUR, true) AS leads FROM acc")
-add("cache_counters", lambda v: ca.hit_counters(ca.ttl_hits(v.acc, 3 * 3600)), "acc", "SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT size, coalesce(ts - lag(ts) OVER (PARTITION BY key ORDER BY ts) < INTERVAL 3 HOUR, false) AS hit FROM acc)")
+add("tx_status_replay", lambda v: tx.replay_status(_EVENTS(v)), "tx", """
+    , e AS (SELECT o_custkey AS tx, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, ['commit', 'start', 'check_ok', 'ingest_ok', 'check_failed'][o_orderkey % 5 + 1] AS event FROM orders),
+    f AS (SELECT DISTINCT tx, CAST(0 AS BIGINT) AS n, 1 AS status FROM e
+          UNION ALL
+          SELECT f.tx, e.n, CASE WHEN f.status = 1 AND event = 'commit' THEN 2 WHEN f.status = 2 AND event = 'start' THEN 3 WHEN f.status = 3 AND event = 'check_ok' THEN 4 WHEN f.status = 3 AND event = 'check_failed' THEN 6 WHEN f.status = 4 AND event = 'ingest_ok' THEN 5 ELSE f.status END
+          FROM f JOIN e ON e.tx = f.tx AND e.n = f.n + 1)
+    SELECT tx, CAST(arg_max(status, n) AS INT) AS status FROM f GROUP BY tx""")
+add("ttl_cache_hits", lambda v: ca.ttl_hits(v.acc, 3 * 3600), "acc", "SELECT key, ts, size, coalesce(ts - lag(ts) OVER (PARTITION BY key ORDER BY ts, size) < INTERVAL 3 HOUR, false) AS hit FROM acc")
+add("size_cache_hits", lambda v: ca.size_heads(v.acc.withColumn("size", F.when(F.col("size") % 3 == 0, -1).otherwise(F.col("size")))), "acc", "SELECT key, ts, size, coalesce(ts - lag(ts) OVER w < CASE WHEN lag(size) OVER w < 0 THEN INTERVAL 3 HOUR ELSE INTERVAL 240 HOUR END, false) AS hit FROM (SELECT key, ts, CASE WHEN size % 3 = 0 THEN -1 ELSE size END AS size FROM acc) WINDOW w AS (PARTITION BY key ORDER BY ts, size)")
+add("single_flight", lambda v: ca.single_flight(v.acc, 3600), "acc", "SELECT key, ts, size, coalesce(ts - lag(ts) OVER (PARTITION BY key ORDER BY ts, size) > INTERVAL 1 HOUR, true) AS leads FROM acc")
+add("cache_counters", lambda v: ca.hit_counters(ca.ttl_hits(v.acc, 3 * 3600)), "acc", "SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT size, coalesce(ts - lag(ts) OVER (PARTITION BY key ORDER BY ts, size) < INTERVAL 3 HOUR, false) AS hit FROM acc)")
 add("error_ledger", lambda v: ca.error_ledger(v.table("events").where("event_type = 'error'").selectExpr("concat('k', event_id % 3) AS key", "ts", "props AS error"), v.table("events").where("event_type = 'view'").selectExpr("concat('k', event_id % 3) AS key", "ts")), "", """
     WITH e AS (SELECT 'k' || event_id % 3 AS key, ts, props AS error FROM events WHERE event_type = 'error'), q AS (SELECT 'k' || event_id % 3 AS key, ts FROM events WHERE event_type = 'view')
     SELECT q.key, q.ts, CASE WHEN e.ts > q.ts - INTERVAL 30 SECOND THEN e.error END AS error FROM q ASOF LEFT JOIN e ON q.key = e.key AND q.ts >= e.ts""")
@@ -51,8 +65,20 @@ add("fragment_running_size", lambda v: fragments.running_size(_FRAG(v)).select("
 add("fragment_rollback", lambda v: fragments.rollback(_FRAG(v)).select("file", "seq"), "", "SELECT 'f' || conv_id AS file, CAST(turn AS INT) AS seq FROM conversations QUALIFY turn < max(turn) OVER (PARTITION BY conv_id)")
 add("fragment_verify", lambda v: fragments.verify(_FRAG(v), v.table("conversations").where("turn = 0").selectExpr("concat('f', conv_id) AS file", "unhex(md5(text)) AS md5", "CAST(NULL AS BINARY) AS sha256")), "", "SELECT 'f' || a.conv_id AS file, md5(a.text) = b.m AS verified FROM conversations a JOIN (SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS m FROM conversations GROUP BY conv_id) b ON a.conv_id = b.conv_id WHERE a.turn = 0")
 add("chunk_plan", lambda v: stores.plan_chunks(v.table("documents").selectExpr("concat('d', doc_id) AS name", "n_chars AS size", "least(n_chars, doc_id % 500) AS sent"), 1000), "", "SELECT name, \"offset\", least(1000, n - \"offset\") AS size FROM (SELECT 'd' || doc_id AS name, n_chars AS n, unnest(range(least(n_chars, doc_id % 500), n_chars, 1000)) AS \"offset\" FROM documents)")
-add("synthetic_throughput", lambda v: stores.synthetic_items(v.spark, 1000).groupBy("item").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")))
-_BAGS = lambda v: bundles.write_bags(v.table("documents").where("length(text) > 0").selectExpr("concat(source, '-0001.zip') AS bundle", "concat('blob/', doc_id) AS name", "CAST(text AS BINARY) AS content"), date(2024, 1, 1)).select(F.col("bundle").alias("path"), "content")
-add("bag_scan", lambda v: bundles.entries(_BAGS(v)).where("name like 'data/%'"), "", "SELECT source || '-0001.zip' AS bundle, 'data/blob/' || doc_id AS name, CAST(strlen(text) AS BIGINT) AS size, md5(text) AS md5, sha256(text) AS sha256 FROM documents WHERE length(text) > 0")
-add("bag_tags", lambda v: bundles.bag_tags(bundles.entries(_BAGS(v), content=True)).where("key = 'Payload-Oxum'"), "", "SELECT source || '-0001.zip' AS bundle, 'Payload-Oxum' AS key, CAST(sum(strlen(text)) AS VARCHAR) || '.' || count(*) AS value FROM documents WHERE length(text) > 0 GROUP BY source")
-add("bag_manifests", lambda v: bundles.manifests(bundles.entries(_BAGS(v), content=True)).where("file like 'data/%'").select("bundle", "file", "md5", "sha256"), "", "SELECT source || '-0001.zip' AS bundle, 'data/blob/' || doc_id AS file, md5(text) AS md5, sha256(text) AS sha256 FROM documents WHERE length(text) > 0")
+add("synthetic_throughput", lambda v: stores.synthetic_items(v.spark, 1000).groupBy("item").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")), "", """
+    WITH i AS (SELECT i, printf('item-%05d', i) AS item FROM range(1000) t(i)),
+    f AS (SELECT item, unnest(range(1, CAST('0x' || substr(md5('1/' || i), 1, 8) AS BIGINT) % 10 + 2)) AS file FROM i)
+    SELECT item, count(*) AS files, CAST(sum(CAST('0x' || substr(md5('1/' || item || '/' || file), 1, 8) AS BIGINT) % 100000000) AS BIGINT) AS bytes FROM f GROUP BY item""")
+
+
+def _bags(v):
+    """Documents as blobs in bundles of their source, cut at ``versions.BUNDLE_BYTES`` (the oracles hold for sources of one bundle)."""
+    docs = v.table("documents").where("length(text) > 0").select(F.col("source").alias("item"), F.col("doc_id").alias("blobid"), F.octet_length("text").cast("long").alias("size"), F.col("text").cast("binary").alias("content"))
+    packed = versions.pack_bundles(docs).select("item", "blobid", keys.bundle_key(F.col("item"), F.col("bundle")).alias("bundle"))
+    files = docs.join(packed, ["item", "blobid"]).select("bundle", F.concat(F.lit("blob/"), "blobid").alias("name"), "content")
+    return bundles.write_bags(files, date(2024, 1, 1)).select(F.col("bundle").alias("path"), "content")
+
+
+add("bag_scan", lambda v: bundles.entries(_bags(v)).where("name like 'data/%'"), "", "SELECT source || '-0001.zip' AS bundle, 'data/blob/' || doc_id AS name, CAST(strlen(text) AS BIGINT) AS size, md5(text) AS md5, sha256(text) AS sha256 FROM documents WHERE length(text) > 0")
+add("bag_tags", lambda v: bundles.bag_tags(bundles.entries(_bags(v), content=True)).where("key = 'Payload-Oxum'"), "", "SELECT source || '-0001.zip' AS bundle, 'Payload-Oxum' AS key, CAST(sum(strlen(text)) AS VARCHAR) || '.' || count(*) AS value FROM documents WHERE length(text) > 0 GROUP BY source")
+add("bag_manifests", lambda v: bundles.manifests(bundles.entries(_bags(v), content=True)).where("file like 'data/%'").select("bundle", "file", "md5", "sha256"), "", "SELECT source || '-0001.zip' AS bundle, 'data/blob/' || doc_id AS file, md5(text) AS md5, sha256(text) AS sha256 FROM documents WHERE length(text) > 0")

@@ -37,7 +37,11 @@ _BAG = """
 add("bag_verify", lambda v: validate.bag_problems(_ENTRIES(v), _LISTED(v)), "blo", f"{_BAG} SELECT * FROM p")
 add("bag_verify_first", lambda v: validate.bag_problems(_ENTRIES(v), _LISTED(v), first_only=True).select("bundle", "rule", "name"), "blo", f"{_BAG} SELECT bundle, rule, name FROM (SELECT *, row_number() OVER (PARTITION BY bundle ORDER BY rule, name) AS n FROM p) WHERE n = 1")
 add("write_check", lambda v: validate.written_problems(v.blo.select("item", "blobid", "size", "md5", "sha256", F.when(F.col("blobid") % 5 == 0, F.col("size") + 1).otherwise(0).alias("want_size"), F.when(F.col("blobid") % 7 == 0, "zz").otherwise("").alias("want_md5"), F.lit("").alias("want_sha256"))), "blo", "SELECT item, blobid, 'V14' AS rule, 'content differs from what was stated' AS problem FROM blo WHERE (blobid % 5 = 0 AND size + 1 > 0) OR blobid % 7 = 0")
-add("reference_check", lambda v: validate.reference_problems(v.slo.where("versionid <= 3"), v.pblo.where("blobid % 5 <> 0").withColumn("deleted", F.lit(None).cast("timestamp"))), "slo pblo", "SELECT DISTINCT item, blobid, 'X1' AS rule, 'slot without a blob' AS problem FROM slo WHERE versionid <= 3 AND blobid % 5 = 0 AND blobid > 0 UNION ALL SELECT item, blobid, 'X2', 'blob without a slot' FROM pblo WHERE blobid % 5 <> 0 AND (item, blobid) NOT IN (SELECT (item, blobid) FROM slo WHERE versionid <= 3)")
+_SLOTS = lambda v: v.slo.withColumn("blobid", F.when(F.col("blobid") % 5 == 0, F.col("blobid") + 1_000_000).otherwise(F.col("blobid")))
+add("reference_check", lambda v: validate.reference_problems(_SLOTS(v), v.pblo.withColumn("deleted", F.lit(None).cast("timestamp"))), "slo pblo", """
+    , s AS (SELECT item, CASE WHEN blobid % 5 = 0 THEN blobid + 1000000 ELSE blobid END AS blobid FROM slo)
+    SELECT DISTINCT item, blobid, 'X1' AS rule, 'slot without a blob' AS problem FROM s WHERE blobid > 0 AND (item, blobid) NOT IN (SELECT (item, blobid) FROM pblo)
+    UNION ALL SELECT item, blobid, 'X2', 'blob without a slot' FROM pblo WHERE (item, blobid) NOT IN (SELECT (item, blobid) FROM s)""")
 add("problems_concat", lambda v: validate.verdicts(v.blo.where("blobid > 0"), _PROBLEMS(v)), "blo", f"""
     , p AS ({_UNION})
     SELECT i.item, CASE WHEN p.item IS NULL THEN 'ok' ELSE 'mismatch' END AS status, coalesce(p.notes, '') AS notes

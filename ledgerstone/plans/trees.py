@@ -27,7 +27,7 @@ add("overlay_union", lambda v: diff.overlay_distinct(_L(v), _R(v)), "loc rem", "
 add("overlay_union_all", lambda v: diff.overlay_all(_L(v), _R(v)), "loc rem", "SELECT name AS key FROM loc UNION ALL SELECT name FROM rem")
 add("overlay_local_wins", lambda v: diff.overlay_lookup(_L(v), _R(v)), "loc rem", "SELECT coalesce(l.name, r.name) AS key, CASE WHEN l.name IS NOT NULL THEN l.md5 ELSE r.mime END AS value, CASE WHEN l.name IS NOT NULL THEN 'local' ELSE 'remote' END AS origin FROM loc l FULL JOIN rem r ON l.name = r.name")
 add("csv_checksum_diff", lambda v: diff.checksum_diff(text.checksum_list(v.loc.select(F.concat_ws(",", "md5", "name").alias("value"))), v.rem.select(F.col("name").alias("path"), F.when(F.substring("md5", 1, 1) < "4", "x").otherwise(F.col("md5")).alias("checksum"))), "loc rem", """
-    SELECT l.name AS path, l.md5 AS checksum, CASE WHEN r.name IS NULL THEN 'absent' ELSE 'differs' END AS reason FROM loc l LEFT JOIN rem r ON l.name = r.name WHERE r.name IS NULL OR substr(r.md5, 1, 1) < '4'""")
+    SELECT l.name AS path, l.md5 AS checksum, CASE WHEN r.name IS NULL THEN 'absent' ELSE 'differs' END AS reason FROM loc l LEFT JOIN rem r ON l.name = r.name WHERE r.name IS NULL OR substr(r.md5, 1, 1) < '4' OR r.md5 <> l.md5""")
 add("blob_by_content", lambda v: diff.blob_by_content(v.loc, v.rem), "loc rem", "SELECT l.name, l.size, l.sha256, b.blobid FROM loc l LEFT JOIN (SELECT size, sha256, min(blobid) AS blobid FROM rem WHERE size > 0 GROUP BY size, sha256) b ON l.size = b.size AND l.sha256 = b.sha256")
 add("add_files", lambda v: diff.add_files(v.loc, v.rem), "loc rem", """
     , b AS (SELECT size, sha256, min(blobid) AS blobid FROM rem WHERE size > 0 GROUP BY size, sha256),

@@ -18,10 +18,10 @@ SQL = {
     "blo": "SELECT item, blobid, CASE WHEN doc_id % 97 = 5 THEN -1 WHEN doc_id % 11 = 0 AND doc_id % 3 <> 0 THEN 0 ELSE n_chars END AS size, CAST(CASE WHEN doc_id % 89 = 7 OR doc_id % 11 = 0 AND doc_id % 5 <> 0 THEN 0 ELSE (blobid - 1) // 20 + 1 END AS INT) AS bundle, CASE WHEN doc_id % 83 <> 1 THEN TIMESTAMP '2020-01-01' + to_minutes(doc_id) END AS created, 'u' || doc_id % 7 AS creator, CASE WHEN doc_id % 71 = 2 THEN '' ELSE md5 END AS md5, CASE WHEN doc_id % 73 = 2 THEN 'ab' ELSE sha256 END AS sha256, lang AS mimetype, CASE WHEN doc_id % 11 = 0 THEN TIMESTAMP '2021-01-01' END AS deleted, CASE WHEN doc_id % 22 = 0 OR doc_id % 79 = 4 THEN 'admin' ELSE '' END AS deleter, CASE WHEN doc_id % 67 = 3 THEN 'gone' ELSE '' END AS deletenote FROM blo0",
     "keys": "SELECT printf('%s-%04d.zip', item, versionid) AS key FROM ver",
     "acc": "SELECT 'u' || user_id AS key, ts, CAST(floor(abs(value)) AS BIGINT) AS size FROM events",
-    "cmd": "SELECT conv_id AS tx, CAST(turn AS INT) AS position, CASE role WHEN 'system' THEN ['note', left(text, 20)] WHEN 'user' THEN ['add', 'f' || length(text) % 50] ELSE ['slot', 's' || turn, CASE WHEN length(text) % 3 = 0 THEN 'f' || length(text) % 50 ELSE CAST(length(text) AS VARCHAR) END] END AS words FROM conversations",
+    "cmd": "SELECT conv_id AS tx, CAST(turn AS INT) AS position, CASE role WHEN 'system' THEN ['note', text] WHEN 'user' THEN ['add', 'f' || length(text) % 50] ELSE ['slot', 's' || turn, CASE WHEN length(text) % 3 = 0 THEN 'f' || length(text) % 50 ELSE CAST(length(text) AS VARCHAR) END] END AS words FROM conversations",
     "tx": "SELECT o_orderkey AS tx, 'c' || o_custkey AS item, CAST(o_orderkey % 7 AS INT) AS status, o_orderdate AS modified FROM orders",
-    "loc": "SELECT 'd' || doc_id AS name, md5(text) AS md5, sha256(text) AS sha256, lang AS mime, n_chars AS size FROM documents WHERE doc_id % 3 <> 0",
-    "rem": "SELECT 'd' || doc_id AS name, md5(text) AS md5, sha256(text) AS sha256, CASE WHEN doc_id % 10 = 0 THEN 'xx' ELSE lang END AS mime, CAST(doc_id + 1 AS INT) AS blobid, n_chars AS size FROM documents WHERE doc_id % 2 = 0",
+    "loc": "SELECT CASE WHEN doc_id % 3 <> 0 THEN 'd' ELSE 'l' END || doc_id AS name, md5(text) AS md5, sha256(text) AS sha256, lang AS mime, n_chars AS size FROM documents",
+    "rem": "SELECT CASE WHEN doc_id % 5 <> 0 THEN 'd' ELSE 'r' END || doc_id AS name, md5(body) AS md5, sha256(body) AS sha256, CASE WHEN doc_id % 10 = 0 THEN 'xx' ELSE lang END AS mime, CAST(doc_id + 1 AS INT) AS blobid, n_chars + doc_id % 2 AS size FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN '' ELSE '+' END || text AS body FROM documents)",
 }
 #: Views that a view needs.
 NEEDS = {"slo": ["ver"], "pblo": ["ver", "slo"], "blo": ["blo0"], "keys": ["ver"]}
@@ -31,7 +31,7 @@ def oracle(views: str, sql: str) -> str:
     names: list[str] = []
     for v in views.split():
         names += [n for n in [*NEEDS.get(v, []), v] if n not in names]
-    return f"WITH {', '.join(f'{n} AS ({SQL[n]})' for n in names)} {sql}" if names else sql
+    return f"WITH RECURSIVE {', '.join(f'{n} AS ({SQL[n]})' for n in names)} {sql}" if names else sql
 
 
 class Views:
@@ -85,11 +85,12 @@ def _blo(v: Views) -> DataFrame:
 
 
 def _cmd(v: Views) -> DataFrame:
-    return v.table("conversations").selectExpr("conv_id AS tx", "CAST(turn AS INT) AS position", "CASE role WHEN 'system' THEN array('note', left(text, 20)) WHEN 'user' THEN array('add', concat('f', length(text) % 50)) ELSE array('slot', concat('s', turn), CASE WHEN length(text) % 3 = 0 THEN concat('f', length(text) % 50) ELSE string(length(text)) END) END AS words")
+    return v.table("conversations").selectExpr("conv_id AS tx", "CAST(turn AS INT) AS position", "CASE role WHEN 'system' THEN array('note', text) WHEN 'user' THEN array('add', concat('f', length(text) % 50)) ELSE array('slot', concat('s', turn), CASE WHEN length(text) % 3 = 0 THEN concat('f', length(text) % 50) ELSE string(length(text)) END) END AS words")
 
 
-def _tree(keep: str, extra: list[str]) -> Callable[[Views], DataFrame]:
-    return lambda v: v.table("documents").where(keep).selectExpr("concat('d', doc_id) AS name", "md5(text) AS md5", "sha2(text, 256) AS sha256", *extra, "n_chars AS size")
+def _tree(name: str, body: str, size: str, extra: list[str]) -> Callable[[Views], DataFrame]:
+    """All documents as a tree: their names, bodies and sizes as SQL expressions."""
+    return lambda v: v.table("documents").selectExpr("*", f"{body} AS body").selectExpr(f"concat({name}, doc_id) AS name", "md5(body) AS md5", "sha2(body, 256) AS sha256", *extra, f"{size} AS size")
 
 
 BUILD: dict[str, Callable[[Views], DataFrame]] = {
@@ -97,6 +98,6 @@ BUILD: dict[str, Callable[[Views], DataFrame]] = {
     "keys": lambda v: v.ver.select(F.format_string("%s-%04d.zip", "item", "versionid").alias("key")),
     "acc": lambda v: v.table("events").selectExpr("concat('u', user_id) AS key", "ts", "CAST(floor(abs(value)) AS BIGINT) AS size"),
     "tx": lambda v: v.table("orders").selectExpr("o_orderkey AS tx", "concat('c', o_custkey) AS item", "CAST(o_orderkey % 7 AS INT) AS status", "o_orderdate AS modified"),
-    "loc": _tree("doc_id % 3 <> 0", ["lang AS mime"]),
-    "rem": _tree("doc_id % 2 = 0", ["CASE WHEN doc_id % 10 = 0 THEN 'xx' ELSE lang END AS mime", "CAST(doc_id + 1 AS INT) AS blobid"]),
+    "loc": _tree("if(doc_id % 3 <> 0, 'd', 'l')", "text", "n_chars", ["lang AS mime"]),
+    "rem": _tree("if(doc_id % 5 <> 0, 'd', 'r')", "concat(if(doc_id % 2 = 0, '', '+'), text)", "n_chars + doc_id % 2", ["CASE WHEN doc_id % 10 = 0 THEN 'xx' ELSE lang END AS mime", "CAST(doc_id + 1 AS INT) AS blobid"]),
 }

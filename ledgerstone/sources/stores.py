@@ -154,9 +154,10 @@ def part_plan(spark: SparkSession, total: int) -> DataFrame:
 
 def synthetic_items(spark: SparkSession, items: int = 10_000, most_files: int = 10, most_bytes: int = 100_000_000, seed: int = 1) -> DataFrame:
     """A load test's files: item, file, size."""
-    n = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(most_files)) + 1
+    draw = lambda *c: F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), *c)), 1, 8), 16, 10).cast("long")
+    n = draw("id") % most_files + 1
     rows = spark.range(items).select(F.format_string("item-%05d", "id").alias("item"), F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("file"))
-    return rows.select("item", F.col("file").cast("int").alias("file"), F.pmod(F.xxhash64(F.lit(seed + 1), "item", "file"), F.lit(most_bytes)).alias("size"))
+    return rows.select("item", F.col("file").cast("int").alias("file"), (draw("item", "file") % most_bytes).alias("size"))
 
 
 def throughput(transfers: DataFrame) -> DataFrame:
