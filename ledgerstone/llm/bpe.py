@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerstone.llm import arrow_text as at
+from ledgerstone.llm.shared import other_columns
 
 WINDOW = 16
 MASK_BITS = 9
@@ -298,6 +299,6 @@ def encode_documents(docs: DataFrame, path: str, column: str = "text", give_ids:
     new = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
     if not give_ids:
         new.pop("ids")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != column and c not in new]
+    kept = [F.col(f"`{c}`") for c in other_columns(docs, [column, *new])]
     schema = docs.select(*kept, *[F.lit(None).cast(t).alias(c) for c, t in new.items()]).schema
     return docs.select(*kept, F.col(column)).mapInArrow(lambda b: encode_batches(b, column, path, give_ids), schema)

@@ -8,7 +8,7 @@ don't. Scoring runs in Arrow batches over whole texts.
 Null and empty texts have no words and fail the base rule; repeated rows are
 scored each; a doc_id labelled 0 and 1 counts in both classes; ties at a threshold count as reached; without labels of both
 classes nothing is rejected but by the base rule; an empty table gives an
-empty result; further columns pass through unless named as an output.
+empty result; further columns pass through unless named as an output, in whatever case.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgerstone.llm import arrow_text as at
 from ledgerstone.llm.linear import Rows, fit, platt, sigmoid
+from ledgerstone.llm.shared import other_columns
 
 BUCKETS = 1 << 16
 SAMPLE = 1500
@@ -194,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "text", label: str =
 def assess(docs: DataFrame, model: Model, column: str = "text", least: float = LEAST_GOOD, keep_text: bool = False) -> DataFrame:
     """docs (without ``column`` unless asked for) with the measures, base_failed, p_good and kept."""
     new = [*MEASURES, "base_failed", "p_good", "kept"]
-    names = [c for c in docs.columns if c not in new and (keep_text or c != column)]
+    names = other_columns(docs, new if keep_text else [*new, column])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

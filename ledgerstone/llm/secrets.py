@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerstone.llm import arrow_text as at
 from ledgerstone.llm.automaton import compile_rules, scan
+from ledgerstone.llm.shared import other_columns
 
 
 @dataclass(frozen=True)
@@ -153,7 +154,7 @@ def _batches(batches: Iterator[pa.RecordBatch], column: str, rules: tuple[Rule,
 
 def scan_secrets(docs: DataFrame, column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The other columns of docs with n_<base kind> (long), base_sha256 and spans (``kind:start:end``, comma-joined)."""
-    kept = [c for c in docs.columns if c not in (column, "n_assign", "n_access", "n_hex", "base_sha256", "spans")]
+    kept = other_columns(docs, [column, *[f"n_{k}" for k in BASE_KINDS], "base_sha256", "spans"])
     empty = hashlib.sha256(b"").hexdigest()
 
     def make(batch, text, spans):

@@ -52,6 +52,13 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return big.join(F.broadcast(small) if fits else small, on, how)
 
 
+def other_columns(docs: DataFrame, taken: list[str]) -> list[str]:
+    """The columns of docs that Spark tells apart from ``taken``: by default names that differ in case only are one."""
+    fold = str if docs.sparkSession.conf.get("spark.sql.caseSensitive") == "true" else str.lower
+    named = {fold(c) for c in taken}
+    return [c for c in docs.columns if fold(c) not in named]
+
+
 def ordered(df: DataFrame, keys: list[str | Column], name: str = "order") -> DataFrame:
     """df written in a total order with ``_part`` and ``_row``: range partitions on all keys, so no key fills a task."""
     df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)

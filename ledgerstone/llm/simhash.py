@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ledgerstone.llm import arrow_text as at
 from ledgerstone.llm.components import connected_components
-from ledgerstone.llm.shared import join_small, materialize
+from ledgerstone.llm.shared import join_small, materialize, other_columns
 
 SEED = 42
 SHINGLE = 3
@@ -72,7 +72,7 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
 
 def with_fingerprint(docs: DataFrame, column: str = "text", name: str = "_fp", drop_text: bool = False) -> DataFrame:
     """docs with the fingerprint as a signed long."""
-    kept = [c for c in docs.columns if c != name and not (drop_text and c == column)]
+    kept = other_columns(docs, [name, column] if drop_text else [name])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerstone.llm import arrow_text as at
-from ledgerstone.llm import bpe, secrets
+from ledgerstone.llm import bpe, quality, secrets
 from ledgerstone.llm.queries import WORD_BPE
 
 BASE = (
@@ -166,3 +166,11 @@ def test_joins_of_short_chunks_agree(tok, monkeypatch):
     want = [e.ids for e in tok.tok.encode_batch(texts, add_special_tokens=False)]
     fresh = bpe.Encoder(WORD_BPE)
     assert [np.frombuffer(x, "<u4").tolist() for x in encode(fresh, texts)] == want
+
+
+def test_columns_that_differ_from_results_in_case_give_way(spark):
+    df = spark.createDataFrame([(1, "token: abcdefgh12345678", "x", 5, 6)], "doc_id long, text string, Spans string, N_Tokens int, KEPT int")
+    assert secrets.scan_secrets(df).select("spans", "n_tokens").collect() == [("assign:0:23", 5)]
+    assert bpe.encode_documents(df, WORD_BPE).select("n_tokens", "spans").collect()[0].spans == "x"
+    model = quality.train(df, df.selectExpr("doc_id", "1 as quality"))
+    assert quality.assess(df, model).select("doc_id", "kept", "spans").collect() == [(1, False, "x")]
