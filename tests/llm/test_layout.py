@@ -127,6 +127,24 @@ def test_shards(spark, docs, none):
     assert sorted(r.slot for r in few) == [0, 0, 0]
 
 
+def test_shards_are_pruned_by_each_dimension(spark):
+    """A predicate on a name or a size meets few files by their least and greatest values; files in random order are all met."""
+    r = random.Random(8)
+    rows = [(i, "w" * int(2 ** r.uniform(3, 11)), f"site{r.randrange(200):03d}", r.choice(["de", "en", "es", "fr", None])) for i in range(8000)]
+    shard = {x.doc_id: x.shard for x in sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+
+    def met(place, value):
+        spans = defaultdict(list)
+        for row in rows:
+            if value(row) is not None:
+                spans[place(row[0])].append(value(row))
+        hits = [sum(min(v) <= x <= max(v) for v in spans.values()) for x in sorted({value(row) for row in rows} - {None})]
+        return sum(hits) / len(hits)
+
+    for value, most in ((lambda x: x[2], 14), (lambda x: x[3], 26), (lambda x: len(x[1]), 24)):
+        assert met(shard.get, value) < most < 32 < met(lambda i: i % 40, value)
+
+
 def brute_rotation(turns):
     talks = defaultdict(list)
     for c, t, role, text in turns:
