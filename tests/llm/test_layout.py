@@ -101,6 +101,45 @@ def test_mix_documents_takes_what_mix_says(spark, docs, none):
     assert mixing.mix_documents(none).count() == 0
 
 
+def test_runs_of_blocks_are_drawn_by_seed(spark, monkeypatch):
+    """On every shard's line the words taken are whole runs and the head of one, and another seed draws others."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 4000)
+    r = random.Random(4)
+    rows = [(i, "ab"[i % 2], r.choice([0, 1, 7, 60, 700])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    drawn = []
+    for seed in (17, 18):
+        sources, entries = mixing.allocate(df, seed)
+        figures = {x["_name"]: x for x in sources.collect()}
+        lines = defaultdict(list)
+        order = entries.withColumn("h", F.xxhash64(F.lit(seed + 2), "doc_id")).withColumn("s", F.xxhash64(F.lit(seed), "doc_id"))
+        for e in order.orderBy("h", "doc_id").collect():
+            lines[e["_name"], e.s % figures[e["_name"]]["_shards"]].append(e)
+        assert len(lines) > 4
+        taken = Counter()
+        for (name, shard), line in sorted(lines.items()):
+            marks = []
+            for e in line:
+                own = [0] * e["_size"]
+                for a, b in zip(e.pieces, e.pieces[1:], strict=False):
+                    assert a.lead + a.n < b.lead
+                for p in e.pieces:
+                    own[p.lead : p.lead + p.n] = [1] * p.n
+                marks += own
+                taken[name] += e.passes * e["_size"]
+            block = figures[name]["_block"]
+            run = -(-(-(-len(marks) // block)) // mixing.RUNS) * block
+            cut = [marks[i : i + run] for i in range(0, len(marks), run)]
+            assert len(cut) <= mixing.RUNS and all(x == sorted(x, reverse=True) for x in cut)
+            assert sum(0 < sum(x) < len(x) for x in cut) <= 1
+            taken[name] += sum(marks)
+            drawn.append((seed, name, shard, tuple(any(x) for x in cut)))
+        for name, f in figures.items():
+            assert abs(taken[name] - f.target) <= f["_block"] * f["_shards"]
+    assert {x[1:] for x in drawn if x[0] == 17} != {x[1:] for x in drawn if x[0] == 18}
+    assert any(0 < sum(x[3]) < len(x[3]) for x in drawn)
+
+
 def test_hilbert_is_a_curve(spark):
     side, bits = 8, 3
     cells = spark.range(side**3).selectExpr("int(id % 8) x", "int(id div 8 % 8) y", "int(id div 64) z")
