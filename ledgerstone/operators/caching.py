@@ -86,7 +86,10 @@ def single_flight(loads: DataFrame, wait_s: int = LOAD_WAIT) -> DataFrame:
 
 
 def rate_credit(uses: DataFrame, per_minute: int, burst: int) -> DataFrame:
-    """Credit after each minute of uses (minute: long, used): refilled each minute to the burst at most; may go negative."""
+    """Credit after each minute of uses (minute: long, used): refilled each minute to the burst at most; may go negative.
+
+    One row a minute: the window's rows grow with the time that uses span, not with the uses.
+    """
     total = Window.orderBy("minute")
     spent = F.sum("used").over(total)
     gain = (F.col("minute") - F.min("minute").over(total)) * per_minute

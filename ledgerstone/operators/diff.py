@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ledgerstone.operators.ordering import row_numbers
 
 
 def plan_upload(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def add_files(files: DataFrame, blobs: DataFrame) -> DataFrame:
     known = blob_by_content(files, blobs)
     fresh = known.where("blobid is null").groupBy("size", "sha256").agg(F.min("name").alias("_by"))
     top = blobs.agg(F.coalesce(F.max("blobid"), F.lit(0)).alias("_top"))
-    fresh = fresh.withColumn("_n", F.row_number().over(Window.orderBy("_by"))).join(F.broadcast(top)).select("size", "sha256", (F.col("_top") + F.col("_n")).cast("int").alias("_new"))
+    fresh = row_numbers(fresh, ["_by"], "_n").join(F.broadcast(top)).select("size", "sha256", (F.col("_top") + F.col("_n")).cast("int").alias("_new"))
     return known.join(fresh, ["size", "sha256"], "left").select("name", F.coalesce("blobid", "_new").alias("blobid"), F.col("_new").isNotNull().alias("is_new"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerstone.functions import scalars
+from ledgerstone.operators.ordering import row_numbers
 
 #: Fixed values, in days and hours: when the next check falls, and a new item's first.
 NEXT_EARLIEST_D, NEXT_LATEST_D, FIRST_WITHIN_H = 182, 365, 12
@@ -66,10 +67,7 @@ def update(fixity: DataFrame, changes: DataFrame) -> DataFrame:
     old = fixity.join(known, "id", "left").select("id", *[F.when(open_, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("item", "scheduled_time", "status", "notes")])
     new = changes.where(F.coalesce("id", F.lit(0)) == 0)
     top = fixity.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    # The ids of a bulk insert: few rows beside the table, numbered in order.
-    from pyspark.sql.window import Window
-
-    numbered = new.withColumn("_n", F.row_number().over(Window.orderBy("scheduled_time", "item"))).join(F.broadcast(top))
+    numbered = row_numbers(new, ["scheduled_time", "item"], "_n").join(F.broadcast(top))
     status = F.when(F.coalesce("status", F.lit("")) == "", "scheduled").otherwise(F.col("status"))
     return old.unionByName(numbered.select((F.col("top") + F.col("_n")).cast("long").alias("id"), "item", "scheduled_time", status.alias("status"), "notes"))
 

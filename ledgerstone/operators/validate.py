@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerstone.functions import keys as names
 from ledgerstone.operators.fixity import outcome
 
 
@@ -77,6 +78,16 @@ def reference_problems(slots: DataFrame, blobs: DataFrame) -> DataFrame:
     return lost.unionByName(idle)
 
 
+def bytes_checked(entries: DataFrame) -> DataFrame:
+    """(item, bytes): the bytes that a check of each item reads, over all entries (bundle, size) of its bundles."""
+    return entries.groupBy(names.bundle_item(F.col("bundle")).alias("item")).agg(F.sum("size").alias("bytes"))
+
+
+def manifest_outcome(parsed: DataFrame) -> DataFrame:
+    """(bundle, status) of parsed manifests: a digest that isn't hex makes the bundle's check an error."""
+    return parsed.groupBy("bundle").agg(outcome(F.lit(0), F.coalesce(F.bool_or("bad"), F.lit(False))).alias("status"))
+
+
 def verdicts(items: DataFrame, problems: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """status and notes (the problems in order, one a line) of each item; errors: items whose check failed."""
     line = F.concat_ws(" ", "rule", "problem")

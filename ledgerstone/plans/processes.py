@@ -51,7 +51,17 @@ add("cache_counters", lambda v: ca.hit_counters(ca.ttl_hits(v.acc, 3 * 3600)), "
 add("error_ledger", lambda v: ca.error_ledger(v.table("events").where("event_type = 'error'").selectExpr("concat('k', event_id % 3) AS key", "ts", "props AS error"), v.table("events").where("event_type = 'view'").selectExpr("concat('k', event_id % 3) AS key", "ts")), "", """
     WITH e AS (SELECT 'k' || event_id % 3 AS key, ts, props AS error FROM events WHERE event_type = 'error'), q AS (SELECT 'k' || event_id % 3 AS key, ts FROM events WHERE event_type = 'view')
     SELECT q.key, q.ts, CASE WHEN e.ts > q.ts - INTERVAL 30 SECOND THEN e.error END AS error FROM q ASOF LEFT JOIN e ON q.key = e.key AND q.ts >= e.ts""")
-add("lru_replay", lambda v: ca.lru_replay(v.acc, 500))
+add("lru_replay", lambda v: ca.lru_replay(v.acc, 500), "acc", """
+    , o AS (SELECT *, row_number() OVER (ORDER BY ts, key, size) AS n FROM acc),
+    r AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(k VARCHAR, s BIGINT)[]) AS held, false AS hit, false AS stored, 0 AS evicted
+          UNION ALL
+          SELECT n, CASE WHEN hit THEN list_concat([list_filter(held, lambda x: x.k = key)[1]], list_filter(held, lambda x: x.k <> key))
+                         WHEN size > 500 THEN held ELSE list_concat([{'k': key, 's': size}], kept) END,
+                 hit, hit OR size <= 500, CAST(CASE WHEN hit OR size > 500 THEN 0 ELSE len(held) - len(kept) END AS INT)
+          FROM (SELECT o.n, held, key, size, list_contains(list_transform(held, lambda x: x.k), key) AS hit,
+                       list_filter(held, lambda x, i: list_sum(list_transform(held[1:i], lambda y: y.s)) + size <= 500) AS kept
+                FROM r JOIN o ON o.n = r.n + 1))
+    SELECT key, ts, size, hit, stored, evicted FROM o JOIN r USING (n)""")
 add("rate_credit", lambda v: ca.rate_credit(v.acc.groupBy(F.expr("unix_micros(cast(ts as timestamp)) div 60000000").alias("minute")).agg(F.sum("size").alias("used")), 5, 100), "acc", """
     , u AS (SELECT epoch_us(ts) // 60000000 AS minute, CAST(sum(size) AS BIGINT) AS used FROM acc GROUP BY 1),
     r AS (SELECT minute, used, (minute - min(minute) OVER w) * 5 AS gain, sum(used) OVER w AS spent FROM u WINDOW w AS (ORDER BY minute))

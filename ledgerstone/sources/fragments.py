@@ -33,7 +33,7 @@ def rollback(fragments: DataFrame, files: DataFrame | None = None) -> DataFrame:
 
 
 def append(fragments: DataFrame, new: DataFrame) -> DataFrame:
-    """new (file, content, md5_goal, sha_goal) after each file's last fragment; content that isn't what was stated is refused."""
+    """new (file, order, content, md5_goal, sha_goal) in order after each file's last fragment; content that isn't what was stated is refused."""
     good = new.where(scalars.stream_verified(F.col("content"), F.col("md5_goal"), F.col("sha_goal")))
     top = fragments.groupBy("file").agg(F.max("seq").alias("_top"))
     n = F.row_number().over(Window.partitionBy("file").orderBy("order"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerstone.operators.catalog import documents_to_tables
+from ledgerstone.operators.ordering import row_numbers
 from ledgerstone.operators.versions import without_duplicate_groups
 
 Tables = dict[str, DataFrame]
@@ -16,9 +16,9 @@ Tables = dict[str, DataFrame]
 
 def _item_column(tables: Tables) -> Tables:
     """``id`` was the item's name; audits get a number of their own."""
-    n = F.row_number().over(Window.orderBy("scheduled_time", "item"))
     fixity = tables["fixity"].withColumnRenamed("id", "item")
-    return tables | {"items": tables["items"].withColumnRenamed("id", "item"), "fixity": fixity.select(n.cast("long").alias("id"), *fixity.columns)}
+    numbered = row_numbers(fixity, ["scheduled_time", "item"], "id").select("id", *fixity.columns)
+    return tables | {"items": tables["items"].withColumnRenamed("id", "item"), "fixity": numbered}
 
 
 def _unique_items(tables: Tables) -> Tables:

@@ -124,7 +124,11 @@ def tree_scan(spark: SparkSession, root: str, content: bool = True, manifest: st
 
 def key_list(spark: SparkSession, text: Iterable[str]) -> DataFrame:
     """A remote listing: JSON arrays of keys."""
-    lines = spark.createDataFrame([(x,) for x in text], "value string")
+    return listed_keys(spark.createDataFrame([(x,) for x in text], "value string"))
+
+
+def listed_keys(lines: DataFrame) -> DataFrame:
+    """key of every JSON array of keys among lines (value), as ``spark.read.text`` gives them."""
     return lines.select(F.explode(F.from_json("value", "array<string>")).alias("key"))
 
 
