@@ -109,6 +109,47 @@ def test_bag_round_trip(spark):
     assert bundles.bag_tags(rows).where("key = 'Payload-Oxum' and bundle = 'x-0001.zip'").first().value == "33.2"
 
 
+def test_bags_by_ranges(spark, tmp_path):
+    folder, day = f"file://{tmp_path}/bags", date(2024, 1, 1)
+    rows = [(f"y-000{n}.zip", f"blob/{i:04}", bytes([n, i % 256]) * (i % 40)) for n in (1, 2) for i in range(300)] + [("z-0001.zip", "blob/1", b"q" * (3 << 20))]
+    files = spark.createDataFrame(rows, "bundle string, name string, content binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # a bundle spans batches
+    try:
+        saved = {r.bundle: r.payload for r in bundles.save_bags(files, folder, day).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert saved == {b: sum(len(c) for x, _, c in rows if x == b) for b in ("y-0001.zip", "y-0002.zip", "z-0001.zip")}
+    assert sorted(p.name for p in (tmp_path / "bags").iterdir() if p.suffix == ".zip") == sorted(saved)
+    key = lambda r: (r.bundle, r.name)
+    ranged = sorted(bundles.scan(spark, folder, content=True).collect(), key=key)
+    assert ranged == sorted(bundles.scan(spark, folder, content=True, opener=None).collect(), key=key)
+    assert ranged == sorted(bundles.entries(bundles.write_bags(files, day).withColumnRenamed("bundle", "path"), content=True).collect(), key=key)
+    assert "content" not in bundles.scan(spark, folder).columns
+    table = bundles.manifests(bundles.scan(spark, folder, content=True)).na.fill("")
+    assert validate.bag_problems(bundles.scan(spark, folder), table).collect() == []
+
+
+def test_fetch_reads_one_entry(spark, tmp_path):
+    folder = f"file://{tmp_path}/bags"
+    files = spark.createDataFrame([("w-0001.zip", "blob/1", b"a" * (5 << 20)), ("w-0001.zip", "blob/2", b"small")], "bundle string, name string, content binary")
+    bundles.save_bags(files, folder, date(2024, 1, 1)).collect()
+    asked = spark.createDataFrame([(f"{folder}/w-0001.zip", "data/blob/2"), (f"{folder}/w-0001.zip", "data/blob/9")], "path string, name string")
+    assert {(r.name, r.content if r.content is None else bytes(r.content)) for r in bundles.fetch(asked).collect()} == {("data/blob/2", b"small"), ("data/blob/9", None)}
+
+    read = []
+
+    class Counted(io.FileIO):
+        def read(self, n=-1):
+            got = super().read(n)
+            read.append(len(got))
+            return got
+
+    with Counted(f"{tmp_path}/bags/w-0001.zip") as f, zipfile.ZipFile(f) as z:
+        z.read("w-0001/data/blob/2")
+    assert sum(read) < 1 << 17  # of 5 MB: the directory and the entry
+    assert bundles.fetch(asked.limit(0)).count() == 0
+
+
 def test_fragments(spark):
     f = spark.createDataFrame([("a", 1, 2, b"he"), ("a", 2, 3, b"llo"), ("b", 1, 1, b"x")], "file string, seq int, size long, content binary")
     assert {(r.file, bytes(r.content)) for r in fragments.contents(f).collect()} == {("a", b"hello"), ("b", b"x")}
