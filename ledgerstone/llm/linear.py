@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,16 +66,47 @@ def fit(rows: Rows, target: np.ndarray, size: int, steps: int = 120, rate: float
     return w, b
 
 
-def platt(z: np.ndarray, target: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset so that sigmoid(slope * z + offset) is calibrated, by Newton steps with smoothed targets."""
-    n1, n0 = target.sum(), (1 - target).sum()
+def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int, steps: int = 30, memory: int = 8, still: float = 1e-5) -> np.ndarray:
+    """Where a smooth convex function (value and gradient) is least, by L-BFGS from 0 with steps halved until they help."""
+    x, past = np.zeros(size), []
+    value, g = loss(x)
+    for _ in range(steps):
+        if np.abs(g).max(initial=0) < still:
+            break
+        d, alphas = -g, []
+        for s, y in reversed(past):
+            alphas.append((s @ d) / (s @ y))
+            d = d - alphas[-1] * y
+        d = d * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / np.linalg.norm(g))
+        for (s, y), a in zip(past, reversed(alphas), strict=True):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        rate = 1.0
+        while True:
+            new, slope = loss(x + rate * d)
+            if new <= value + 1e-4 * rate * (g @ d):
+                break
+            rate /= 2
+            if rate < 1e-4:
+                return x
+        s, y = rate * d, slope - g
+        x, value, g = x + s, new, slope
+        if s @ y > 1e-12:
+            past = [*past, (s, y)][-memory:]
+    return x
+
+
+def platt(z: np.ndarray, target: np.ndarray, steps: int = 50, count: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and offset so that sigmoid(slope * z + offset) is calibrated, by Newton steps with smoothed targets; count: rows of each z and target."""
+    count = np.ones(len(z)) if count is None else count
+    n1, n0 = (count * target).sum(), (count * (1 - target)).sum()
     if not n1 or not n0:
         return 1.0, 0.0
     y = np.where(target > 0.5, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    scale = max(float(np.std(z)), 1e-9)
+    mean = (count * z).sum() / count.sum()
+    scale = max(float(np.sqrt((count * (z - mean) ** 2).sum() / count.sum())), 1e-9)
     x, theta = np.stack([z / scale, np.ones_like(z)], 1), np.array([1.0, 0.0])
     for _ in range(steps):
         p = sigmoid(x @ theta)
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        theta = theta - np.clip(np.linalg.solve(h, x.T @ (p - y) + 1e-3 * (theta - [1, 0])), -2, 2)
+        h = (x * (count * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        theta = theta - np.clip(np.linalg.solve(h, x.T @ (count * (p - y)) + 1e-3 * (theta - [1, 0])), -2, 2)
     return float(theta[0] / scale), float(theta[1])
