@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerstone.llm import quality, toxicity
@@ -151,3 +152,46 @@ def test_label_model_agrees_with_the_posterior_of_true_rates():
 def test_patterns_vote():
     said = [b"You are such an imbecile!", b"just get lost now", b"I hate them so", b"STOP THAT NOW YOU ALL, ", b"what the f**k", b"no!!!", b"A calm text about you and me."]
     assert [[k for k, p in enumerate(toxicity.PATTERNS) if p.search(t)] for t in said] == [[0], [1], [2], [4], [5], [6], []]
+
+
+def test_toxicity_learns_from_every_document(spark):
+    """Documents that a sample of 8,000 by a hash of doc_id left out, without labels, change the model."""
+    said = lambda i: f"{'idiot zvlek' if i % 9 == 0 else 'calm words'} w{i % 50} w{i % 7}"
+    ids = spark.range(8500).selectExpr("id as doc_id", "row_number() over (order by xxhash64('sample', id), id) > 8000 as last").collect()
+    last = {r.doc_id for r in ids if r.last}
+    rows = lambda text: spark.createDataFrame([(i, text(i)) for i in range(8500)], "doc_id long, text string").repartition(2)
+    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(0, 8500, 5) if i not in last], "doc_id long, toxic int")
+    a, b = (toxicity.train(rows(t), labels) for t in (said, lambda i: "idiot grumk" if i in last else said(i)))
+    assert a.weights[toxicity.word_bucket("grumk")] == 0 < b.weights[toxicity.word_bucket("grumk")]
+
+
+def test_choose_is_greedy(spark):
+    r = np.random.default_rng(3)
+    rows = [sorted(r.choice(70, int(r.integers(1, 30)), replace=False, p=np.arange(70, 0, -1) / 2485).tolist()) for _ in range(300)]
+    heard, want = np.zeros(300, int), []
+    for k in range(70):
+        mine = np.array([i for i, v in enumerate(rows) if k in v], int)
+        want.append((heard[mine] < toxicity.ENOUGH).sum() >= max(3, len(mine) / 5))
+        if want[-1]:
+            heard[mine] += 1
+    table = spark.createDataFrame([(v, 1) for v in rows], "list array<int>, n long")
+    assert 0 < sum(want) < 70 and toxicity.choose(table, 70).tolist() == want
+
+
+def test_label_model_of_a_table(spark):
+    r = np.random.default_rng(2)
+    y = r.random(3000) < 0.1
+    votes = (r.random((3000, 5)) < np.where(y[:, None], 0.5, 0.02)).astype(float)
+    votes[:, 4] = votes[:, 3]
+    groups = Counter(tuple(np.flatnonzero(v).tolist()) for v in votes)
+    table = spark.createDataFrame([(list(k), n) for k, n in groups.items()], "list array<int>, n long")
+    (got, n, post), want = toxicity.label_model_of(table, 5, 0.1), toxicity.label_model(votes, 0.1)
+    assert n == 3000 and np.isclose(post, want.posterior(votes).sum(), atol=1e-3)
+    assert all(np.allclose(getattr(got, k), getattr(want, k), atol=1e-6) for k in ("p1", "p0", "share"))
+
+
+def test_patterns_are_found_as_by_re():
+    said = ["You are such an imbecile!", "go  away", "GET LOSTé", "éhate you", "Kill yourself", None, "", "ABC. DEFé GHI, JKL MNO!", "a*éb", "no!!!\n"]
+    column = pa.array(said)
+    for p in toxicity.PATTERNS:
+        assert toxicity.found(column, p).tolist() == [bool(p.search((t or "").encode())) for t in said]
