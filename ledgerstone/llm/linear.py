@@ -1,4 +1,4 @@
-"""Hashed sparse logistic regression in NumPy, fitted on a bounded sample at the driver."""
+"""Hashed sparse logistic regression in NumPy: ``fit`` on rows at the driver, ``minimise`` on sums that come from elsewhere; calibration."""
 
 from __future__ import annotations
 
