@@ -66,8 +66,8 @@ def fit(rows: Rows, target: np.ndarray, size: int, steps: int = 120, rate: float
     return w, b
 
 
-def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int, steps: int = 30, memory: int = 8, still: float = 1e-5) -> np.ndarray:
-    """Where a smooth convex function (value and gradient) is least, by L-BFGS from 0 with steps halved until they help."""
+def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int, steps: int = 30, memory: int = 8, still: float = 1e-5, least: float = 1e-8) -> np.ndarray:
+    """Where a smooth convex function (value and gradient) is least, by L-BFGS from 0 with steps halved until they help; ends with a flat gradient or a step that gains too little."""
     x, past = np.zeros(size), []
     value, g = loss(x)
     for _ in range(steps):
@@ -88,8 +88,10 @@ def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int,
             rate /= 2
             if rate < 1e-4:
                 return x
-        s, y = rate * d, slope - g
+        s, y, gain = rate * d, slope - g, value - new
         x, value, g = x + s, new, slope
+        if gain < least:
+            break
         if s @ y > 1e-12:
             past = [*past, (s, y)][-memory:]
     return x

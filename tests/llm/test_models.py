@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ledgerstone.llm import quality, toxicity
+from ledgerstone.llm import linear, quality, toxicity
 
 SF = os.environ.get("LLM_SF", "/root/testdata/sf0.01")
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -195,3 +195,14 @@ def test_patterns_are_found_as_by_re():
     column = pa.array(said)
     for p in toxicity.PATTERNS:
         assert toxicity.found(column, p).tolist() == [bool(p.search((t or "").encode())) for t in said]
+
+
+def test_minimise_ends_where_nothing_is_gained():
+    calls = []
+
+    def loss(x):
+        calls.append(x)
+        return round(float((x - 1e-4) @ (x - 1e-4)), 9), 2 * (x - 1e-4)
+
+    assert abs(linear.minimise(loss, 1)[0]) < 1e-3 and len(calls) < 40
+    assert np.allclose(linear.minimise(lambda x: (float((x - [3, -2]) @ [[2, 1], [1, 4]] @ (x - [3, -2])), 2 * np.array([[2, 1], [1, 4]]) @ (x - [3, -2])), 2), [3, -2], atol=1e-3)
